@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .fertility import op4_fertility
+from .langid import op3_langid
+from .quality import op7_quality
 from .simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_fertility, op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
