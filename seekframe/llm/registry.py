@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .fertility import op4_fertility
 from .langid import op3_langid
+from .pieces import op5_pieces
 from .quality import op7_quality
 from .simhash import op1_simhash
+from .tokenfile import op6_tokenfile
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_fertility, op7_quality)}
+    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_fertility, op5_pieces, op6_tokenfile, op7_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
