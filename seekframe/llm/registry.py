@@ -7,11 +7,13 @@ from .langid import op3_langid
 from .pieces import op5_pieces
 from .quality import op7_quality
 from .simhash import op1_simhash
+from .suffixes import op2_suffixes
 from .tokenfile import op6_tokenfile
+from .vectors import op8_vectors
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_fertility, op5_pieces, op6_tokenfile, op7_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffixes, op3_langid, op4_fertility, op5_pieces, op6_tokenfile, op7_quality, op8_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,6 @@ ordered by their ids; an empty input gives empty tables; other columns are not r
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +38,11 @@ CACHE = 600_000
 
 
 class Encoder:
-    """A tokenizer file; ids of the stretches between blanks and newlines are kept in two generations."""
+    """A tokenizer file; ids of the stretches between blanks and newlines are kept in two generations.
+
+    Stretches are kept in lower case (which the tokenizer makes of them anyway) where the text has no combining marks,
+    and a stretch of letters with a comma or full stop at its end is put together from the two.
+    """
 
     _known: dict[str, Encoder] = {}
 
@@ -49,10 +52,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = re.compile("[^ \n]+")
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folds = self.whole(b"QXZ") == self.whole(b"qxz")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.stops = {c: self.whole(bytes([c])) for c in b".,"}
+        self.cache: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -60,36 +67,64 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, units: set[bytes]) -> None:
         if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
-        fresh = []
-        for u in units - self.cache.keys():
-            if u in self.old:
-                self.cache[u] = self.old[u]
-            else:
-                fresh.append(u)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, np.uint32)
+            self.old, self.cache = self.cache, {b"": b""}
+        cache, old = self.cache, self.old
+        words, rest, stopped = [], [], []
+        asked = set()
+        for u in units - cache.keys():
+            if u in old:
+                cache[u] = old[u]
+                continue
+            if len(u) > 1 and u[-1] in b".," and 97 <= u[-2] | 32 <= 122:
+                stopped.append(u)
+                u = u[:-1]
+                if u in cache or u in asked:
+                    continue
+                if u in old:
+                    cache[u] = old[u]
+                    continue
+            if u in asked:
+                continue
+            asked.add(u)
+            text = u.decode("utf-8", "replace")
+            (words if text.isalpha() else rest).append((u, text))
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.uint32)
+            edge = np.flatnonzero(self.ends[ids]) + 1
+            if len(edge) != len(part):
+                rest += part
+                continue
+            self._keep(part, ids, np.concatenate([[0], edge]))
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            coded = self.tokenizer.encode([t for _, t in part], is_pretokenized=True, add_special_tokens=False)
             owner = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-            edge = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
-            data = ids.tobytes()
-            for u, a, b in zip(part, edge[:-1], edge[1:]):
-                self.cache[u] = data[4 * a : 4 * b]
+            self._keep(part, np.array(coded.ids, np.uint32), np.searchsorted(owner, np.arange(len(part) + 1)))
+        for u in stopped:
+            cache[u] = cache[u[:-1]] + self.stops[u[-1]]
+
+    def _keep(self, part: list[tuple[bytes, str]], ids: np.ndarray, edge: np.ndarray) -> None:
+        data, edge = ids.tobytes(), (4 * edge).tolist()
+        for (u, _), a, b in zip(part, edge[:-1], edge[1:]):
+            self.cache[u] = data[a:b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian uint32, the end id not yet among them."""
         # An added token's string is cut out of the text before anything else, so such a text is encoded whole.
-        listed = [None if any(a in t for a in self.added) else self.split.findall(t) for t in texts]
+        listed = [None if any(a in t for a in self.added) else self._fold(t).replace(b"\n", b" ").split(b" ") for t in texts]
         self.learn(set(chain.from_iterable(x for x in listed if x)))
         get = self.cache.__getitem__
         return [self.whole(t) if x is None else b"".join(map(get, x)) for x, t in zip(listed, texts)]
 
+    def _fold(self, text: bytes) -> bytes:
+        return text.lower() if self.folds and b"\xcc" not in text and b"\xcd" not in text else text
+
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +133,7 @@ def _encode(path: str):
             _, offsets = text_buffer(batch.column(1))
             for i, j in slabs(offsets, 1 << 22):
                 part = batch.slice(i, j - i)
-                ids = [np.append(np.frombuffer(x, np.uint32), np.uint32(END)) for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [np.append(np.frombuffer(x, np.uint32), np.uint32(END)) for x in encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])]
                 lengths = np.array([len(x) for x in ids])
                 every = np.concatenate(ids)
                 narrow = every.astype(np.uint16) if every.max() < 1 << 16 else every
@@ -210,13 +245,15 @@ class Code:
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
+        wide, narrow = [], []
         for n, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             ids = _ids(data.as_buffer(), n)
-            if len(ids):
-                own = np.bincount(ids, minlength=len(total))
-                if len(own) > len(total):
-                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-                total[: len(own)] += own
+            (narrow if ids.itemsize == 2 else wide).append(ids)
+        for ids in filter(None, (wide, narrow)):
+            own = np.bincount(np.concatenate(ids), minlength=len(total))
+            if len(own) > len(total):
+                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
+            total += own
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
