@@ -253,7 +253,9 @@ class Tables:
         if len(self.cache) > CACHE:
             self.old, self.cache = self.cache, {}
         fresh = []
-        for u in units - self.cache.keys():
+        for u in units:
+            if u in self.cache:
+                continue
             if u in self.old:
                 self.cache[u] = self.old[u]
             else:

@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,24 @@ END = 2
 LIMIT = 16
 STRIDE = 64
 BLOCK = 1 << 19
-CACHE = 600_000
+CACHE = 1_000_000
 
 
 # ---------------------------------------------------------------- encoding
 
 
+class _Cache(dict):
+    """Ids of stretches; those asked for in vain are listed in ``todo``."""
+
+    def __init__(self):
+        super().__init__({b"": b""})
+        self.todo: set[bytes] = set()
+
+    def __missing__(self, unit: bytes) -> bytes:
+        self.todo.add(unit)
+        return b""
+
+
 class Encoder:
     """A tokenizer file; ids of the stretches between blanks and newlines are kept in two generations.
 
@@ -58,8 +70,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.stops = {c: self.whole(bytes([c])) for c in b".,"}
-        self.cache: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
+        self.cache, self.old = _Cache(), _Cache()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -70,13 +81,13 @@ class Encoder:
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, units: set[bytes]) -> None:
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {b"": b""}
+    def learn(self) -> None:
+        """Encode what the cache was asked for in vain."""
         cache, old = self.cache, self.old
+        units, cache.todo = cache.todo, set()
         words, rest, stopped = [], [], []
         asked = set()
-        for u in units - cache.keys():
+        for u in units:
             if u in old:
                 cache[u] = old[u]
                 continue
@@ -118,8 +129,12 @@ class Encoder:
         """Ids of each text as little-endian uint32, the end id not yet among them."""
         # An added token's string is cut out of the text before anything else, so such a text is encoded whole.
         listed = [None if any(a in t for a in self.added) else self._fold(t).replace(b"\n", b" ").split(b" ") for t in texts]
-        self.learn(set(chain.from_iterable(x for x in listed if x)))
+        if len(self.cache) > CACHE:
+            self.cache, self.old = _Cache(), self.cache
         get = self.cache.__getitem__
+        for x in listed:
+            deque(map(get, x or ()), 0)
+        self.learn()
         return [self.whole(t) if x is None else b"".join(map(get, x)) for x, t in zip(listed, texts)]
 
     def _fold(self, text: bytes) -> bytes:
@@ -131,7 +146,7 @@ def _encode(path: str):
         encoder = Encoder.of(path)
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
-            for i, j in slabs(offsets, 1 << 22):
+            for i, j in slabs(offsets, 1 << 21):
                 part = batch.slice(i, j - i)
                 ids = [np.append(np.frombuffer(x, np.uint32), np.uint32(END)) for x in encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])]
                 lengths = np.array([len(x) for x in ids])
@@ -195,6 +210,7 @@ class Code:
     limit: int = LIMIT
 
     def __post_init__(self):
+        self.sizes = self.lengths.astype(np.int64)
         used = np.flatnonzero(self.lengths)
         order = used[np.lexsort((used, self.lengths[used]))]
         lengths = self.lengths[order].astype(np.int64)
@@ -211,7 +227,8 @@ class Code:
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of ids and the bit offset of each."""
-        size = self.lengths[ids].astype(np.int64)
+        ids = ids.astype(np.intp)
+        size = self.sizes[ids]
         at = np.cumsum(size) - size
         total = int(at[-1] + size[-1]) if len(at) else 0
         word, shift = at >> 5, (64 - (at & 31) - size).astype(np.uint64)
