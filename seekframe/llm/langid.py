@@ -182,6 +182,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a language (not ``und``) and a score of ``least``, with their own columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string"), F.lit(False).alias("held_out"))
+    row = rows.schema["row"].dataType.simpleString()
+    told = rows.mapInArrow(_predict(shared), f"doc_id {row}, held_out boolean, lang_pred string, score double")
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id.*")
+
+
 def op3_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, learn(docs))

@@ -344,11 +344,11 @@ def _encode(model: str):
             ids, decoded = [], []
             for texts in _in_slabs(batch.column(1)):
                 for parts in coded(texts, tables):
-                    own, text = [], []
+                    own, text = [np.zeros(0, np.int32)], []
                     for a, b in parts:
-                        own.extend(int(x) for x in ",".join(a).split(","))
+                        own.append(np.fromstring(",".join(a), np.int32, sep=","))
                         text.extend(b)
-                    ids.append(own)
+                    ids.append(np.concatenate(own))
                     decoded.append("".join(text)[1:])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -76,12 +76,13 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` for each row of ``docs``; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """``(doc_id, th, fp)`` for each row of ``docs``; fp holds the 64 bits as a signed long, th a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(_fingerprint_batches, "doc_id long, th long, fp long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -141,7 +142,8 @@ def links(fps: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
     """``(u, v)``: enough links between distinct fingerprints ``fps(fp)`` to connect whatever is linked."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(k))])
     rows = fps.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
-    full = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # from files, so that the join below is of two plain shuffles, which Spark can split where a key is hot
+    full = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     parts = F.ceil(F.col("n") / block).cast("int")
     rows = rows.join(full, ["t", "key"]).select("t", "key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.sequence(F.lit(0), parts - 1).alias("others"))
     rows = rows.select("t", "key", "fp", "part", F.explode("others").alias("other"))
@@ -150,17 +152,32 @@ def links(fps: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
     return rows.mapInArrow(_bucket_links(k), "u long, v long")
 
 
+def _rooted(marked: DataFrame, k: int) -> DataFrame:
+    """``(fp, first, root)``: each fingerprint with its least row ``(whether the doc_id is null, doc_id, th)`` and root."""
+    fps = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    roots = components(links(fps.select("fp"), k))
+    return cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
     marked = cut(fingerprints(docs), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(fps.select("fp"), k))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = cut(named, "roots")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = _rooted(marked, k)
+    least = cut(named.groupBy("root").agg(F.min("first").alias("least")), "least")
+    named = cut(named.select("fp", "root").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id")), "named")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component one row of the least doc_id, with its own columns."""
+    marked = cut(fingerprints(docs), "fingerprints")
+    stay = cut(_rooted(marked, k).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t")), "stay")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
+    kept = docs.join(stay, same, "left_semi")
+    # rows of one doc_id and text; they are rare, and only if there are any do texts move for them
+    again = marked.groupBy("doc_id", "th").count().where("count > 1")
+    return kept if again.isEmpty() else kept.withColumn("__t", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__t"]).drop("__t")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -105,6 +105,8 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def sieve(table: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Of runs ``table(d, th, s, e, a, key, full)``: those that repeat throughout, and one of each content to go on with."""
     keys = table.groupBy("key").agg(F.count("*").alias("n"), (F.min("full") != F.max("full")).alias("mixed")).where("n > 1").select("key", "mixed")
+    # from files, so that the join is of two plain shuffles, which Spark can split where a key is hot
+    keys = cut(keys, f"{name}-keys")
     again = cut(table.join(keys, "key"), name)
     contents = again.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "s", "e", "a")).alias("r"), F.first("mixed").alias("mixed"))
     contents = cut(contents.where("n > 1 or mixed"), f"{name}-contents")

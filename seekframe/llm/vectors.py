@@ -156,7 +156,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     inner = kind if kind in ("array<float>", "array<double>") else "array<double>"
     dealt = distinct.select("node", "n", "embedding").mapInArrow(_table_batches(bits, tables), f"t int, key long, dim int, node long, n long, embedding {inner}")
     dealt = cut(dealt, "tables")
-    full = dealt.groupBy("t", "key", "dim").agg(F.count("*").alias("size")).where("size > 1")
+    full = cut(dealt.groupBy("t", "key", "dim").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = dealt.join(full, ["t", "key", "dim"]).withColumn("part", F.pmod("node", parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     placed = placed.select("t", "key", "dim", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "n", "embedding")
