@@ -21,21 +21,48 @@ def searchable(messages: DataFrame) -> DataFrame:
     return messages.select("row_id", F.col("subject"), F.col("body"), sender.alias("sender"), F.col("recipients"))
 
 
-def tokenized(texts: DataFrame) -> DataFrame:
-    """``row_id, col, toks``: one row for each column of each message."""
-    columns = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("toks")) for c in WEIGHTS])
-    return texts.select("row_id", F.explode(columns).alias("x")).select("row_id", "x.col", "x.toks")
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out over all cores, where the input is so few files that most of them would idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
+def _token_columns(texts: DataFrame) -> DataFrame:
+    return texts.select("row_id", *[tokens(F.col(c)).alias(c) for c in WEIGHTS])
+
+
+def _n_tokens():
+    return sum((F.size(c) for c in WEIGHTS), F.lit(0)).cast("long").alias("n_tokens")
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """``row_id, col, term, pos``."""
-    return tokenized(texts).select("row_id", "col", F.posexplode("toks").alias("pos", "term"))
+    """``row_id, col, term, pos``: the whole index, to be kept."""
+    columns = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("toks")) for c in WEIGHTS])
+    rows = _token_columns(texts).select("row_id", F.explode(columns).alias("x"))
+    return rows.select("row_id", "x.col", F.posexplode("x.toks").alias("pos", "term"))
 
 
 def lengths(texts: DataFrame) -> DataFrame:
     """``row_id, n_tokens`` over all columns of the index; no shuffle."""
-    every = sum((F.size(tokens(F.col(c))) for c in WEIGHTS), F.lit(0))
-    return texts.select("row_id", every.cast("long").alias("n_tokens"))
+    return _token_columns(texts).select("row_id", _n_tokens())
+
+
+def scanned(texts: DataFrame, terms: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``row_id, n_tokens, col, term, pos`` for some terms only, and the lengths, without an index."""
+    wanted = F.array(*map(F.lit, sorted(terms))).cast("array<string>")
+
+    def places(c: str):
+        every = F.transform(F.col(c), lambda t, i: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term")))
+        return F.filter(every, lambda x: F.array_contains(wanted, x["term"]))
+
+    rows = _token_columns(spread(texts))
+    # outer, or Catalyst would move a test of the whole expression down to the scan, before the rows are dealt out
+    hits = rows.select("row_id", _n_tokens(), F.concat(*map(places, WEIGHTS)).alias("hits")).select("row_id", "n_tokens", F.inline_outer("hits"))
+    return hits, rows.select("row_id", _n_tokens())
+
+
+def terms_of(parts: dict[str, Sequence[str]]) -> set[str]:
+    return {t for ps in parts.values() for p in ps for t in tokenize(p)}
 
 
 def asked(spark: SparkSession, parts: dict[str, Sequence[str]]) -> DataFrame:
@@ -51,18 +78,24 @@ def occurrences(index: DataFrame, queries: DataFrame) -> DataFrame:
     side is the small one; whether it is broadcast is left to its measured size.
     """
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
-    hits = index.join(queries, "term").select("qid", "phrase", "size", "n_parts", "row_id", "col", (F.col("pos") - F.col("off")).alias("at"))
-    one = hits.where("size = 1").select("qid", "phrase", "n_parts", "row_id", "col")
-    more = hits.where("size > 1").groupBy("qid", "phrase", "size", "n_parts", "row_id", "col", "at").count().where("count = size").select("qid", "phrase", "n_parts", "row_id", "col")
-    return one.unionAll(more).groupBy("qid", "phrase", "n_parts", "row_id").agg(F.sum(weight[F.col("col")]).alias("f"))
+    row = [c for c in ("row_id", "n_tokens") if c in index.columns]
+    hits = index.join(queries, "term").select("qid", "phrase", "size", "n_parts", *row, "col", (F.col("pos") - F.col("off")).alias("at"))
+    whole = hits.groupBy("qid", "phrase", "size", "n_parts", *row, "col", "at").count().where("count = size")
+    return whole.groupBy("qid", "phrase", "n_parts", *row).agg(F.sum(weight[F.col("col")]).alias("f"))
 
 
 def scored(index: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
-    """``qid, row_id, score, n_matched, n_parts``: BM25, negative, smaller is better."""
+    """``qid, row_id, score, n_matched, n_parts``: BM25, negative, smaller is better.
+
+    ``index`` may bring ``n_tokens`` of its rows along; else they are joined from ``sizes``.
+    """
     found = occurrences(index, queries)
-    df = found.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
+    # a count of f, so that both readers of found are the same plan and share its exchange
+    df = found.groupBy("qid", "phrase").agg(F.count("f").alias("df"))
     total = sizes.agg(F.count("*").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens")).select(F.lit(1).alias("one"), "*")
-    rows = found.join(df, ["qid", "phrase"]).join(sizes, "row_id").withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
+    rows = found.join(df, ["qid", "phrase"])
+    rows = rows if "n_tokens" in rows.columns else rows.join(sizes, "row_id")
+    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     score = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))

@@ -31,8 +31,8 @@ LIMIT = 50
 
 
 def _lexical(spark: SparkSession, sf_dir: str, parts: dict) -> DataFrame:
-    texts = lexical.searchable(X.messages(spark, sf_dir))
-    return lexical.scored(lexical.postings(texts), lexical.lengths(texts), lexical.asked(spark, parts))
+    index, sizes = lexical.scanned(lexical.searchable(X.messages(spark, sf_dir)), lexical.terms_of(parts))
+    return lexical.scored(index, sizes, lexical.asked(spark, parts))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def store_stats(spark, sf_dir):
 
 
 def token_df(spark, sf_dir):
-    rows = X.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    rows = lexical.spread(X.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     each = rows.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 

@@ -25,17 +25,26 @@ class Searcher:
         self.messages, self.chunks = messages, chunks
         self.provider, self.reranker = provider, reranker
         self.config, self.stored_model = config or Config(), stored_model
-        texts = lexical.searchable(messages)
-        self.index = lexical.postings(texts) if index is None else index
-        self.sizes = lexical.lengths(texts) if sizes is None else sizes
+        # without an index, searches scan the texts for their own terms; load() builds it
+        self.index, self.sizes = index, sizes
         self._loaded: list[DataFrame] = []
 
     def load(self) -> Searcher:
         """Keep the index and the vectors in memory, where they fit, between searches."""
         if not self._loaded:
-            self._loaded = [x.persist() for x in (self.index, self.sizes, dense.embedded(self.chunks))]
+            texts = lexical.searchable(self.messages)
+            index = lexical.postings(texts) if self.index is None else self.index
+            sizes = lexical.lengths(texts) if self.sizes is None else self.sizes
+            self._loaded = [x.persist() for x in (index, sizes, dense.embedded(self.chunks))]
         return self
 
+    def _index(self, parts: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+        if self._loaded:
+            return self._loaded[0], self._loaded[1]
+        if self.index is not None and self.sizes is not None:
+            return self.index, self.sizes
+        return lexical.scanned(lexical.searchable(self.messages), lexical.terms_of(parts))
+
     def unload(self) -> None:
         for x in self._loaded:
             x.unpersist()
@@ -59,7 +68,7 @@ class Searcher:
 
     def _keyword(self, queries: dict[str, Query], limit: int) -> DataFrame:
         parts = {qid: q.parts for qid, q in queries.items()}
-        rows = lexical.scored(self.index, self.sizes, lexical.asked(self.spark, parts))
+        rows = lexical.scored(*self._index(parts), lexical.asked(self.spark, parts))
         free = [qid for qid, q in queries.items() if not q.has_filters]
         out = None
         for own, limited in ((free, False), ([q for q in queries if q not in free], True)):
