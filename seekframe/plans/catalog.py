@@ -417,4 +417,4 @@ ORACLES = {
     "identifier_words": r"WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE word <> '' AND length(word) >= 3 AND (contains(word, '@') OR (regexp_matches(word, '\p{Nd}') AND (regexp_matches(word, '\p{L}') OR length(word) >= 5)) OR (instr(word, '.') > 1 AND instr(word, '.') < length(word) - 1 AND NOT suffix(word, '.') AND regexp_full_match(word, '[\p{L}\p{N}.-]+'))) GROUP BY word",
     "feed_messages": "SELECT doc_id AS seq, 'm' || doc_id AS id, CASE WHEN doc_id % 10 <> 0 THEN lang END AS subject, CASE WHEN doc_id % 10 <> 0 THEN source || ' <' || source || '@x.example>' ELSE '' END AS recipients, CASE WHEN doc_id % 10 <> 0 THEN doc_id % 4 = 0 END AS has_attachments, CASE WHEN doc_id % 10 <> 0 THEN length(text) END AS n_chars, doc_id % 10 = 0 AS removed FROM documents",
 }
-ORACLES["hybrid_search"] = _rrf_sql(1.0, 20).replace("SELECT qid, row_id, round(score, 9) AS score, keyword_rank, vector_rank, place FROM", "SELECT qid, place, round(score, 9) AS score, row_id FROM").replace("keyword_rank, vector_rank, place FROM placed", "FROM placed")
+ORACLES["hybrid_search"] = f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY place) AS place, score, row_id FROM ({_rrf_sql(1.0, 20)}) WHERE row_id IN (SELECT doc_id FROM documents)"
