@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, slabs, text_buffer, word_spans
+from .common import IS_SPACE, mix, prefix_hash, range_hash, slabs, text_buffer, word_spans
 
 WINDOW = 8
 SCRIPTS = ("latin", "greek", "cyrillic", "semitic", "indic", "east_asian", "other")
@@ -58,8 +58,6 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     def totals(marked: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(marked)])[offsets])
 
-    from .common import IS_SPACE
-
     chars = totals(~IS_SPACE[data] & ((data & 0xC0) != 0x80))
     symbols = totals(_SYMBOL[data])
     prefix = prefix_hash(data)
@@ -82,7 +80,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     line_start = np.concatenate([offsets[:-1], breaks + 1])
     line_start.sort()
-    owner = np.concatenate([np.searchsorted(offsets, offsets[:-1], "right") - 1, np.searchsorted(offsets, breaks, "right") - 1])
+    owner = np.concatenate([np.arange(docs), np.searchsorted(offsets, breaks, "right") - 1])
     owner.sort()
     line_end = np.minimum(np.concatenate([line_start[1:], [len(data)]]), offsets[owner + 1])
     at_break = (line_end > line_start) & (data[np.maximum(line_end - 1, 0)] == 10) if len(data) else np.zeros(len(line_end), bool)

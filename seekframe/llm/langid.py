@@ -113,7 +113,7 @@ def learn(docs: DataFrame) -> Model:
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     names = sorted(r["lang"] for r in sizes)
     if not names:
-        return Model([], np.zeros(1, np.uint64), np.zeros(0))
+        return Model([], np.zeros(1 << SLOTS_LOG2, np.uint64), np.zeros(0))
     rate = F.lit(0.0)
     for r in sizes:
         rate = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE / r["count"])).otherwise(rate)
