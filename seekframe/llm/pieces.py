@@ -31,8 +31,8 @@ from .common import mix, slabs, text_buffer
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 WIDE = 48
-CACHE = 400_000
-SLAB = 1 << 22
+CACHE = 200_000
+SLAB = 1 << 21
 _UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
 
 
@@ -331,26 +331,29 @@ def coded(texts: list[str], tables: Tables, most: int = 400_000) -> Iterator[Ite
         yield parts(units, text)
 
 
-def _in_slabs(column: pa.Array) -> Iterator[list[str]]:
-    _, offsets = text_buffer(column)
-    for i, j in slabs(offsets, SLAB):
-        yield [x or "" for x in column.slice(i, j - i).to_pylist()]
+def _in_slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of slabs: what is held at once doesn't grow with the batch."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(1))
+        for i, j in slabs(offsets, SLAB):
+            yield batch.column(0).slice(i, j - i), [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
 
 
 def _encode(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables.of(model)
-        for batch in batches:
-            ids, decoded = [], []
-            for texts in _in_slabs(batch.column(1)):
-                for parts in coded(texts, tables):
-                    own, text = [np.zeros(0, np.int32)], []
-                    for a, b in parts:
-                        own.append(np.fromstring(",".join(a), np.int32, sep=","))
-                        text.extend(b)
-                    ids.append(np.concatenate(own))
-                    decoded.append("".join(text)[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        for doc_ids, texts in _in_slabs(batches):
+            ids, sizes, decoded = [np.zeros(0, np.int32)], [0], []
+            for parts in coded(texts, tables):
+                n, text = 0, []
+                for a, b in parts:
+                    ids.append(np.fromstring(",".join(a), np.int32, sep=","))
+                    n += len(ids[-1])
+                    text.extend(b)
+                sizes.append(n)
+                decoded.append("".join(text)[1:])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([doc_ids, lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
@@ -358,20 +361,19 @@ def _encode(model: str):
 def _digest(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables.of(model)
-        for batch in batches:
+        for doc_ids, texts in _in_slabs(batches):
             counts, of_ids, of_text = [], [], []
-            for texts in _in_slabs(batch.column(1)):
-                for parts in coded(texts, tables):
-                    n, a_hash, b_hash = 0, hashlib.sha256(), hashlib.sha256()
-                    for a, b in parts:
-                        ids, text = ",".join(a), "".join(b)
-                        a_hash.update(("," + ids if n else ids).encode())
-                        b_hash.update((text if n else text[1:]).encode())
-                        n += ids.count(",") + 1
-                    counts.append(n)
-                    of_ids.append(a_hash.hexdigest())
-                    of_text.append(b_hash.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for parts in coded(texts, tables):
+                n, a_hash, b_hash = 0, hashlib.sha256(), hashlib.sha256()
+                for a, b in parts:
+                    ids, text = ",".join(a), "".join(b)
+                    a_hash.update(("," + ids if n else ids).encode())
+                    b_hash.update((text if n else text[1:]).encode())
+                    n += ids.count(",") + 1
+                counts.append(n)
+                of_ids.append(a_hash.hexdigest())
+                of_text.append(b_hash.hexdigest())
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
