@@ -12,11 +12,12 @@ ordered by their ids; an empty input gives empty tables; other columns are not r
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +32,12 @@ END = 2
 LIMIT = 16
 STRIDE = 64
 BLOCK = 1 << 19
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 # ---------------------------------------------------------------- encoding
 
 
-class _Cache(dict):
-    """Ids of stretches; those asked for in vain are listed in ``todo``."""
-
-    def __init__(self):
-        super().__init__({b"": b""})
-        self.todo: set[bytes] = set()
-
-    def __missing__(self, unit: bytes) -> bytes:
-        self.todo.add(unit)
-        return b""
-
-
 class Encoder:
     """A tokenizer file; ids of the stretches between blanks and newlines are kept in two generations.
 
@@ -70,7 +59,8 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.stops = {c: self.whole(bytes([c])) for c in b".,"}
-        self.cache, self.old = _Cache(), _Cache()
+        self.cache: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -81,13 +71,16 @@ class Encoder:
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self) -> None:
-        """Encode what the cache was asked for in vain."""
+    def learn(self, units: set[bytes]) -> None:
+        """See that the cache holds these stretches; a full cache becomes the older generation first."""
+        if len(self.cache) > CACHE:
+            self.cache, self.old = {b"": b""}, self.cache
         cache, old = self.cache, self.old
-        units, cache.todo = cache.todo, set()
         words, rest, stopped = [], [], []
         asked = set()
         for u in units:
+            if u in cache:
+                continue
             if u in old:
                 cache[u] = old[u]
                 continue
@@ -129,12 +122,8 @@ class Encoder:
         """Ids of each text as little-endian uint32, the end id not yet among them."""
         # An added token's string is cut out of the text before anything else, so such a text is encoded whole.
         listed = [None if any(a in t for a in self.added) else self._fold(t).replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache, self.old = _Cache(), self.cache
+        self.learn(set(chain.from_iterable(x for x in listed if x)))
         get = self.cache.__getitem__
-        for x in listed:
-            deque(map(get, x or ()), 0)
-        self.learn()
         return [self.whole(t) if x is None else b"".join(map(get, x)) for x, t in zip(listed, texts)]
 
     def _fold(self, text: bytes) -> bytes:
@@ -144,9 +133,10 @@ class Encoder:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
+        gc.freeze()  # the cache has no cycles and needn't be walked again and again
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
-            for i, j in slabs(offsets, 1 << 21):
+            for i, j in slabs(offsets, 1 << 18):
                 part = batch.slice(i, j - i)
                 ids = [np.append(np.frombuffer(x, np.uint32), np.uint32(END)) for x in encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])]
                 lengths = np.array([len(x) for x in ids])
