@@ -156,3 +156,21 @@ def test_config(tmp_path):
     assert c.search.rrf_k == 7 and "s3" not in c.redacted() and "***" in c.redacted()
     c.save(place)
     assert Config.load(place) == c
+
+
+def test_embedded_words(spark):
+    def plain(text):
+        out = [0.0] * 256
+        for word in text.lower().translate(str.maketrans("\n,.:;!?-", "        ")).split(" "):
+            if word:
+                h = 2166136261
+                for c in word[:5]:
+                    h = (h ^ ord(c)) * 16777619 % 2**32
+                out[(h & 0x7FFFFFFF) % 256] += 1
+        norm = sum(x * x for x in out) ** 0.5
+        return [x / norm for x in out] if norm else out
+
+    texts = ["Kick-off agenda, agenda!", "", "kickoffen\nåäö"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["v"] for r in df.select("i", models.embed(F.col("t"), models.WordEmbedder()).alias("v")).collect()}
+    assert all(abs(a - b) < 1e-6 for i, t in enumerate(texts) for a, b in zip(got[i], plain(t), strict=True))
