@@ -13,7 +13,9 @@ ordered by their ids; an empty input gives empty tables; other columns are not r
 from __future__ import annotations
 
 import gc
+import json
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +35,22 @@ LIMIT = 16
 STRIDE = 64
 BLOCK = 1 << 19
 CACHE = 600_000
+SYMBOLS = string.punctuation.encode()
+
+# The normalisation and splitting that the plain words' shorter way is right for.
+STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Bytes as the letters of byte-level vocabularies: those without a visible character get the letters from 256 on.
+LETTERS = dict(zip([b for b in range(256) if b < 33 or 127 <= b <= 160 or b == 173], range(256, 512)))
+del LETTERS[32]  # blanks still part the words
 
 
 # ---------------------------------------------------------------- encoding
@@ -42,7 +60,9 @@ class Encoder:
     """A tokenizer file; ids of the stretches between blanks and newlines are kept in two generations.
 
     Stretches are kept in lower case (which the tokenizer makes of them anyway) where the text has no combining marks,
-    and a stretch of letters with a comma or full stop at its end is put together from the two.
+    and a stretch of letters with ASCII symbols at its end is put together from the two. Plain lower-case words that
+    the tokenizer's normalisation leaves as they are go straight to its merges, if its steps are those of ``STEPS``.
+    Ids are of 2 bytes each where the whole vocabulary fits, else of 4.
     """
 
     _known: dict[str, Encoder] = {}
@@ -50,15 +70,22 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path if "/" in path else public_tokenizers.path(path))
+        path = path if "/" in path else public_tokenizers.path(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folds = self.whole(b"QXZ") == self.whole(b"qxz")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.stops = {c: self.whole(bytes([c])) for c in b".,"}
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        self.plain = None
+        if (steps["normalizer"], steps["pre_tokenizer"]) == STEPS:
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.cache: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
@@ -76,55 +103,70 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache, self.old = {b"": b""}, self.cache
         cache, old = self.cache, self.old
-        words, rest, stopped = [], [], []
-        asked = set()
+        ascii_, latin, words, rest, joined, asked = [], [], [], [], [], []
         for u in units:
+            if not u.isalpha():
+                core = u.rstrip(SYMBOLS)
+                if core and len(core) < len(u) and u not in old and self._letters(core):
+                    joined.append((u, core, u[len(core) :]))
+                    asked += joined[-1][1:]
+                    continue
+            asked.append(u)
+        for u in set(asked):
             if u in cache:
                 continue
             if u in old:
                 cache[u] = old[u]
-                continue
-            if len(u) > 1 and u[-1] in b".," and 97 <= u[-2] | 32 <= 122:
-                stopped.append(u)
-                u = u[:-1]
-                if u in cache or u in asked:
-                    continue
-                if u in old:
-                    cache[u] = old[u]
+            elif u.isalpha():
+                ascii_.append((u, u.decode().lower()))
+            else:
+                text = u.decode("utf-8", "replace")
+                (rest if not text.isalpha() else latin if max(text) < "\u0180" and text == text.lower() else words).append((u, text))
+        if self.plain is None:
+            words, ascii_, latin = words + ascii_ + latin, [], []
+        for coder, listed in ((self.plain, ascii_), (self.plain, latin), (self.tokenizer, words)):
+            for i in range(0, len(listed), 4096):
+                part = listed[i : i + 4096]
+                text = " ".join([t for _, t in part])
+                if listed is latin:
+                    text = text.encode().decode("latin-1").translate(LETTERS)
+                ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+                edge = np.flatnonzero(self.ends[ids]) + 1
+                if len(edge) != len(part):
+                    rest += part
                     continue
-            if u in asked:
-                continue
-            asked.add(u)
-            text = u.decode("utf-8", "replace")
-            (words if text.isalpha() else rest).append((u, text))
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, np.uint32)
-            edge = np.flatnonzero(self.ends[ids]) + 1
-            if len(edge) != len(part):
-                rest += part
-                continue
-            self._keep(part, ids, np.concatenate([[0], edge]))
+                self._keep(part, ids, np.concatenate([[0], edge]))
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             coded = self.tokenizer.encode([t for _, t in part], is_pretokenized=True, add_special_tokens=False)
             owner = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-            self._keep(part, np.array(coded.ids, np.uint32), np.searchsorted(owner, np.arange(len(part) + 1)))
-        for u in stopped:
-            cache[u] = cache[u[:-1]] + self.stops[u[-1]]
+            self._keep(part, np.array(coded.ids, self.kind), np.searchsorted(owner, np.arange(len(part) + 1)))
+        for u, core, tail in joined:
+            cache[u] = cache[core] + cache[tail]
+
+    @staticmethod
+    def _letters(core: bytes) -> bool:
+        """Whether these are letters for every release of Unicode, and still are in lower case."""
+        if core.isalpha():
+            return True
+        text = core.decode("utf-8", "replace")
+        return max(text) < "\u0180" and text.lower().isalpha()
 
     def _keep(self, part: list[tuple[bytes, str]], ids: np.ndarray, edge: np.ndarray) -> None:
-        data, edge = ids.tobytes(), (4 * edge).tolist()
+        data, edge = ids.tobytes(), (ids.itemsize * edge).tolist()
         for (u, _), a, b in zip(part, edge[:-1], edge[1:]):
             self.cache[u] = data[a:b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian uint32, the end id not yet among them."""
+        """Ids of each text in ``kind``, the end id not yet among them."""
         # An added token's string is cut out of the text before anything else, so such a text is encoded whole.
         listed = [None if any(a in t for a in self.added) else self._fold(t).replace(b"\n", b" ").split(b" ") for t in texts]
-        self.learn(set(chain.from_iterable(x for x in listed if x)))
-        get = self.cache.__getitem__
-        return [self.whole(t) if x is None else b"".join(map(get, x)) for x, t in zip(listed, texts)]
+        found = [None if x is None else list(map(self.cache.get, x)) for x in listed]
+        lacking = [i for i, x in enumerate(found) if x is not None and None in x]
+        self.learn({u for i in lacking for u, ids in zip(listed[i], found[i]) if ids is None})
+        for i in lacking:
+            found[i] = [self.cache[u] if ids is None else ids for u, ids in zip(listed[i], found[i])]
+        return [np.frombuffer(self.whole(t), np.uint32).astype(self.kind).tobytes() if x is None else b"".join(x) for x, t in zip(found, texts)]
 
     def _fold(self, text: bytes) -> bytes:
         return text.lower() if self.folds and b"\xcc" not in text and b"\xcd" not in text else text
@@ -133,25 +175,20 @@ class Encoder:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
+        end, wide = np.array([END], encoder.kind).tobytes(), encoder.kind.itemsize
         gc.freeze()  # the cache has no cycles and needn't be walked again and again
         for batch in batches:
             _, offsets = text_buffer(batch.column(1))
             for i, j in slabs(offsets, 1 << 18):
                 part = batch.slice(i, j - i)
-                ids = [np.append(np.frombuffer(x, np.uint32), np.uint32(END)) for x in encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])]
-                lengths = np.array([len(x) for x in ids])
-                every = np.concatenate(ids)
-                narrow = every.astype(np.uint16) if every.max() < 1 << 16 else every
-                wide = narrow.itemsize
-                ends = np.concatenate([[0], np.cumsum(lengths)]) * wide
-                data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(narrow.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), data], names=["doc_id", "n_tokens", "ids"])
+                ids = [x + end for x in encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, n_tokens, ids``: ids with the end id, little-endian, of 2 bytes each where all of a text's slab fit, else of 4."""
+    """``doc_id, n_tokens, ids``: ids with the end id, little-endian, of 2 bytes each where the vocabulary fits, else of 4."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(vocabulary), "doc_id long, n_tokens long, ids binary")
 
 
