@@ -264,6 +264,29 @@ def test_token_files(spark, docs, empty):
     assert tokenfile.read(spark, tokenfile.write(empty), digest=True).isEmpty()
 
 
+def test_stretches_are_encoded_as_the_library_does():
+    encoder, rng = tokenfile.Encoder(tokenfile.VOCABULARY), random.Random(5)
+    letters = "abcXYZéÉßøñŉİıſ'\u0338\u0301<>=.,$!09 \n\t \u0085ǅК日²ªº·"
+    listed = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    listed += ["it's we'll don't' a's. b'.' c'd", "zéİ! straße.!! que,,, ŉ. ﬁn.", "<|endoftext|> a", "wörter " * 500, ""]
+    assert encoder.plain is not None
+    for short in (True, False):
+        encoder.plain, encoder.cache, encoder.old = encoder.plain if short else None, {b"": b""}, {}
+        for i in range(0, len(listed), 97):
+            part = listed[i : i + 97]
+            for text, ids in zip(part, encoder.encode([t.encode() for t in part])):
+                assert np.frombuffer(ids, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_full_caches_lose_nothing(monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE", 10)
+    encoder, rng = tokenfile.Encoder(tokenfile.VOCABULARY), random.Random(6)
+    for _ in range(40):
+        listed = [prose(rng, 20) + rng.choice([".", "!?", ""]) for _ in range(5)]
+        for text, ids in zip(listed, encoder.encode([t.encode() for t in listed])):
+            assert np.frombuffer(ids, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_length_limited_codes():
     rng = np.random.default_rng(9)
     for counts in (rng.integers(0, 1000, 3000) ** 2, np.array([0, 5]), np.array([1, 0, 1]), 2 ** np.arange(30)):
