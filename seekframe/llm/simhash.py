@@ -168,10 +168,9 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component one row of the least doc_id, with its own columns."""
-    marked = cut(fingerprints(docs), "fingerprints")
-    stay = cut(_rooted(marked, k).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t")), "stay")
+def stayed(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the least ``first`` of a root in ``named(first, root)``, once each."""
+    stay = cut(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t")), "stay")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
     kept = docs.join(stay, same, "left_semi")
     # rows of one doc_id and text; they are rare, and only if there are any do texts move for them
@@ -179,5 +178,11 @@ def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
     return kept if again.isEmpty() else kept.withColumn("__t", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__t"]).drop("__t")
 
 
+def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component one row of the least doc_id, with its own columns."""
+    marked = cut(fingerprints(docs), "fingerprints")
+    return stayed(docs, marked, _rooted(marked, k))
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

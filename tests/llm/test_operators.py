@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seekframe.llm import common, fertility, langid, mixing, personal, pieces, quality, registry, simhash, suffixes, tokenfile, vectors
+from seekframe.llm import common, fertility, langid, mixing, nearcopies, personal, pieces, quality, registry, simhash, suffixes, tokenfile, vectors
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and to in der die und les une pour el la que thing other great small house tree river stone cloud".split()
@@ -112,6 +112,41 @@ def test_simhash_links_lose_nothing(spark):
         assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(n for n in roots if roots[n] == r) for r in set(roots.values())}
 
 
+def plain_near_copies(texts, shingle=5):
+    def parts(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in t or ""))
+        size = min(shingle, len(words))
+        return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+    sets = [parts(t) for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def edited(rng, text, times):
+    words = text.split()
+    for at in rng.sample(range(len(words)), times):
+        words[at] = "edit" + str(rng.randrange(10**6))
+    return " ".join(words)
+
+
+def test_near_copies(spark, docs, empty):
+    rng = random.Random(21)
+    base = [prose(rng, 200) for _ in range(40)]
+    rows = base + [edited(rng, t, 1 + i % 6) for i, t in enumerate(base)] + [edited(rng, base[0], i % 5) for i in range(60)]
+    given = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    pairs = plain_near_copies(rows)
+    fps = [plain_fingerprint(t) for t in rows]
+    assert any((fps[i] ^ fps[j]).bit_count() > 3 for i, j in pairs)  # those SimHash at three bits leaves
+    want = sorted(set(linked(len(rows), pairs)))
+    for block in (256, 8):  # 8: buckets dealt out as pairs of blocks
+        assert sorted(r["doc_id"] for r in nearcopies.keep_one(given, block).collect()) == want
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, given, SF).collect()) == want
+    kept = nearcopies.keep_one(docs)
+    given = docs.select("doc_id", "text").collect()
+    assert kept.columns == docs.columns and kept.count() == len(set(linked(len(given), plain_near_copies([r["text"] for r in given]))))
+    assert nearcopies.keep_one(empty).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     got = {r["node"]: r["root"] for r in common.components(edges).collect()}
