@@ -6,6 +6,11 @@ fitted weight over the cell's tokens; its probability is that weight times a com
 expected tokens are the share ``keep`` of all if no cell is exhausted.  A document stays if a hash of its doc_id,
 read as a number in [0, 1), is below its probability: the same sample in every run.
 
+The SQL of op9_mixing cuts a probability over 1 and lets the mass go, so its expected margins miss their targets where a
+weight is over 1 / ``keep``.  ``met`` fits the cut probabilities instead: each margin's factor is the one that gives its
+group the goal with its exhausted cells at 1.  Where ``keep`` of all tokens leaves no such sample, the kept share falls, by
+steps of ``STEP``, until the margins meet their targets within ``NEAR``.  The pipeline's sample and op9_mixing_met do that.
+
 A topic is the most frequent of ``TOPICS`` classes of words (by first letter and length), over the whole text.  Targets
 default to token shares raised to ``SMOOTH`` and scaled to sum 1, which lifts small groups.
 
@@ -25,6 +30,11 @@ TOPICS = 8
 SMOOTH = 0.5
 ROUNDS = 8
 KEEP = 0.5
+#: Of ``met``: the relative miss of a margin that is let pass, the fall of the kept share, rounds between two looks, and looks before it falls.
+NEAR = 1e-3
+STEP = 0.9
+LOOK = 4
+LOOKS = 6
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
 
@@ -76,29 +86,80 @@ def chances(rows: DataFrame, keep: float = KEEP, aims: dict[str, DataFrame] | No
     return cut(out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * keep)), "chances")
 
 
+def _filled(cells: DataFrame, margin: str, share: float) -> DataFrame:
+    """``cells`` with ``x`` scaled within each group so that the group's ``least(tokens, x)`` sum to its goal."""
+    group = Window.partitionBy(margin)
+    # from the cell that is exhausted last: what these hold if all others are; the sum is the least of such lines
+    upto = group.orderBy((F.col("tokens") / F.col("x")).desc(), *MARGINS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = cells.withColumn("free", F.sum("x").over(upto)).withColumn("held", F.sum("tokens").over(group) - F.sum("tokens").over(upto))
+    factor = F.max((F.col(f"goal_{margin}") * share - F.col("held")) / F.col("free")).over(group)
+    return lines.withColumn("x", F.greatest(F.col("x") * factor, F.lit(1e-200))).drop("free", "held")
+
+
+def met(rows: DataFrame, keep: float = KEEP, aims: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``source, lang, topic, weight, probability`` of each cell, so that the margins of probability times tokens meet their targets."""
+    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    aims = aims or {m: targets(cells, m) for m in MARGINS}
+    start, most = cells.where("tokens > 0"), keep
+    for m in MARGINS:
+        start = start.join(aims[m].select(m, (F.col("target") * total).alias(f"goal_{m}")), m)
+    # one table of groups, not of documents: one task fits it without a shuffle for each step
+    start = cut(start.coalesce(1), "start")
+    state, share = start, keep
+    if total:
+        for m in MARGINS:
+            room = start.groupBy(m).agg((F.sum("tokens") / F.first(f"goal_{m}")).alias("room")).agg(F.min("room")).first()[0]
+            most = min(most, room)
+        share, state, looks = most, None, 0
+        while True:
+            state = (state or start.withColumn("x", F.col("tokens") * F.lit(share))).coalesce(1)
+            for _ in range(LOOK):
+                for m in MARGINS:
+                    state = _filled(state, m, share)
+            state, looks = cut(state, "fitted"), looks + 1
+            miss = [F.abs(F.sum(F.least("tokens", "x")).over(Window.partitionBy(m)) / (F.col(f"goal_{m}") * share) - 1) for m in MARGINS]
+            if state.coalesce(1).select(F.greatest(*miss).alias("miss")).agg(F.max("miss")).first()[0] <= NEAR:
+                break
+            if looks == LOOKS:
+                share, state, looks = share * STEP, None, 0
+                if share < 1e-6:
+                    raise ValueError("the targets contradict each other: no sample meets them")
+    else:
+        state = start.withColumn("x", F.col("tokens").cast("double"))
+    fitted = state.select(*MARGINS, (F.col("x") / F.col("tokens") / share).alias("weight"))
+    out = cells.select(*MARGINS).join(fitted, list(MARGINS), "left").select(*MARGINS, F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return cut(out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * share)), "chances")
+
+
 def draw(doc_id: Column) -> Column:
     """A number in [0, 1) from a hash of doc_id."""
     text = F.coalesce(doc_id.cast("string"), F.lit("null"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+def mix(docs: DataFrame, keep: float = KEEP, fit=chances) -> DataFrame:
     """``doc_id, source, lang, topic, tokens, weight, probability, kept`` for each row of ``docs``."""
     rows = cut(measured(docs, F.col("doc_id").cast("long").alias("doc_id")), "measured")
-    out = rows.join(chances(rows, keep), list(MARGINS))
+    out = rows.join(fit(rows, keep), list(MARGINS))
     return out.select("doc_id", *MARGINS, "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))
 
 
 def sample(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
+    """The rows of ``docs`` that stay, with their own columns; its expected margins meet their targets."""
     rows = measured(docs, F.col("doc_id").alias("doc_id"), F.struct("*").alias("row"))
-    return rows.join(chances(measured(docs), keep), list(MARGINS)).where(draw(F.col("doc_id")) < F.col("probability")).select("row.*")
+    return rows.join(met(measured(docs), keep), list(MARGINS)).where(draw(F.col("doc_id")) < F.col("probability")).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_mixing_met(spark, sf_dir: str) -> DataFrame:
+    """The mixture that meets its targets; op9_mixing is what its SQL says."""
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), fit=met)
+
+
 def _oracle() -> str:
     """The same in DuckDB's SQL, one common table for each step of raking."""
     words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"

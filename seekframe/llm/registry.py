@@ -7,7 +7,7 @@ import corpus_pipeline
 from . import mixing
 from .fertility import op4_fertility
 from .langid import op3_langid
-from .mixing import op9_mixing
+from .mixing import op9_mixing, op9_mixing_met
 from .personal import op10_personal
 from .pieces import op5_pieces
 from .quality import op7_quality
@@ -18,7 +18,7 @@ from .vectors import op8_vectors
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_suffixes, op3_langid, op4_fertility, op5_pieces, op6_tokenfile, op7_quality, op8_vectors, op9_mixing, op10_personal)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_simhash, op2_suffixes, op3_langid, op4_fertility, op5_pieces, op6_tokenfile, op7_quality, op8_vectors, op9_mixing, op9_mixing_met, op10_personal)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

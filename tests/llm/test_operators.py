@@ -380,6 +380,29 @@ def test_raking_meets_its_targets(docs, empty):
     assert mixing.mix(empty).isEmpty() and mixing.sample(docs).columns == docs.columns
 
 
+def test_margins_of_the_sample(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(20, 60)), rng.choice(["en"] * 12 + ["de", "de", "fr"]), rng.choice(["big"] * 30 + ["mid"] * 4 + ["a", "b"])) for i in range(1500)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = common.cut(mixing.measured(given, "doc_id"), "measured")
+
+    def worst(fit):
+        out = measured.join(fit(measured), list(mixing.MARGINS))
+        total, miss = out.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0], 0
+        for margin in mixing.MARGINS:
+            aim = {r[0]: r[1] for r in mixing.targets(measured, margin).collect()}
+            have = {r[0]: r[1] for r in out.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("probability"))).collect()}
+            miss = max(miss, *(abs(have[k] / total / aim[k] - 1) for k in aim))
+        return miss
+
+    assert worst(mixing.chances) > 0.1  # probabilities cut at 1 as the SQL does
+    assert worst(mixing.met) < 0.003
+    chance = {tuple(r[m] for m in mixing.MARGINS): r["probability"] for r in mixing.met(measured).collect()}
+    kept = {r["doc_id"] for r in mixing.sample(given).collect()}
+    drawn = measured.select("doc_id", *mixing.MARGINS, mixing.draw(F.col("doc_id")).alias("at")).collect()
+    assert kept == {r["doc_id"] for r in drawn if r["at"] < chance[tuple(r[m] for m in mixing.MARGINS)]}
+
+
 def test_mixing_like_sql(spark):
     import duckdb
 
