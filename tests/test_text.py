@@ -102,6 +102,24 @@ def test_chunks():
         assert split(text, 40, 7) == _plain_split(text, 40, 7)
 
 
+def test_whole_bodies_are_assembled(spark, tmp_path):
+    from seekframe.plans import catalog
+
+    rng = random.Random(4)
+    bodies = ["".join(rng.choice(["word ", "other ", "end. ", "\n", "\n\n"]) for _ in range(n)) for n in (5, 90, 400, 1500, 3000)] + ["", " \n ", None, "x" * 2000, "y" * 950]
+    rows = [(i, b, "en", "src") for i, b in enumerate(bodies)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, b, lang, source in rows:
+        sender = f"Sender {source} <{source}@{lang}.example>" if i % 5 else f"{source}@{lang}.example"
+        header = f"Subject: {(b or '')[:40]}\nFrom: {sender}\nDate: 2024-01-01"
+        pieces = _plain_split((b or "").strip(), 900, 120)
+        want += [(i, k, f"{header}\n\n{p}") for k, p in enumerate(pieces)] or [(i, 0, header)]
+    got = catalog.QUERIES["chunk_assemble_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r["row_id"], r["ordinal"], r["chunk"]) for r in got) == want
+    assert sum(r["row_id"] == 0 for r in got) == 1 and sum(r["row_id"] == 4 for r in got) > 10
+
+
 def test_snippets_like_sqlite():
     rng = random.Random(7)
     for _ in range(300):
