@@ -47,14 +47,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def like_pattern(asked: str) -> str:
+    """The pattern of ``LIKE '%asked%'`` for texts in ``ascii_lower``; % and _ in ``asked`` keep their meaning."""
+    return "%" + plain_lower(asked).replace("\\", "\\\\") + "%"
+
+
+def plain_lower(asked: str) -> str:
+    return asked.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def contains_like(text: Column, asked: str) -> Column:
-    """``LIKE '%asked%'`` without regard to the case of A-Z; % and _ in ``asked`` keep their meaning."""
-    pattern = asked.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\")
-    return ascii_lower(text).like(f"%{pattern}%")
+    """``LIKE '%asked%'`` without regard to the case of A-Z."""
+    return ascii_lower(text).like(like_pattern(asked))
 
 
 def equals_nocase(text: Column, asked: str) -> Column:
-    return ascii_lower(text) == asked.translate(str.maketrans(_UPPER, _LOWER))
+    return ascii_lower(text) == plain_lower(asked)
 
 
 def trimmed(text: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_like, equals_nocase, trimmed, truncated
+from ..functions.text import ascii_lower, contains_like, equals_nocase, like_pattern, plain_lower, trimmed, truncated
 from ..query import Query
 
 
@@ -39,6 +39,45 @@ def allowed(messages: DataFrame, query: Query) -> DataFrame | None:
     return None if p is None else messages.where(p).select("row_id")
 
 
+_ASKED = "qid string, sender string, recipient string, after long, before long, attached boolean, place string"
+
+
+def _matching(messages: DataFrame, queries: dict[str, Query]) -> DataFrame:
+    """``messages`` with ``qid`` for each query whose filters a message passes.
+
+    The queries are a table of a few words each, which the driver holds; one scan of the messages meets all of them.
+    """
+    rows = [
+        (qid, None if q.sender is None else like_pattern(q.sender), None if q.to is None else like_pattern(q.to), q.after and int(q.after.timestamp()),
+         q.before and int(q.before.timestamp()), q.has_attachments, None if q.folder is None else plain_lower(q.folder))
+        for qid, q in queries.items() if q.has_filters
+    ]
+    asked = messages.sparkSession.createDataFrame(rows, _ASKED)
+    low = messages.withColumns({f"low_{c}": ascii_lower(F.col(c)) for c in ("sender_address", "sender_name", "recipients", "folder")})
+
+    def passes(given: str, test: str) -> Column:
+        return F.col(given).isNull() | F.expr(test)
+
+    on = (
+        passes("sender", "low_sender_address like sender or low_sender_name like sender") & passes("recipient", "low_recipients like recipient") & passes("after", "received_unix >= after")
+        & passes("before", "received_unix < before") & passes("attached", "not attached or has_attachments") & passes("place", "low_folder = place")
+    )
+    return low.join(F.broadcast(asked), on).select("qid", *messages.columns)
+
+
+def allowed_many(messages: DataFrame, queries: dict[str, Query]) -> DataFrame:
+    """``qid, row_id`` of the messages that pass, for the queries that have filters."""
+    columns = ("row_id", "sender_address", "sender_name", "recipients", "received_unix", "has_attachments", "folder")
+    return _matching(messages.select(*columns), queries).select("qid", "row_id")
+
+
+def newest_many(messages: DataFrame, queries: dict[str, Query], top: int) -> DataFrame:
+    """``qid, rank, row_id, snippet``: the answers to queries of filters alone, newest first; none to one without filters."""
+    order = Window.partitionBy("qid").orderBy(F.desc("received_unix"), "row_id")
+    best = _matching(messages, queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.select("qid", "rank", "row_id", truncated(F.coalesce("body", F.lit("")), 160).alias("snippet"))
+
+
 def newest(messages: DataFrame, query: Query, top: int) -> DataFrame:
     """The answer to a query of filters alone: ``row_id, received_unix, snippet``, newest first."""
     p = predicate(query)

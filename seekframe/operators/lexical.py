@@ -42,6 +42,17 @@ def postings(texts: DataFrame) -> DataFrame:
     return rows.select("row_id", "x.col", F.posexplode("x.toks").alias("pos", "term"))
 
 
+def indexed(texts: DataFrame) -> DataFrame:
+    """``term, row_id, n_tokens, f, places``: the index to be stored, one row for each term of a text.
+
+    ``f`` is the weighted number of occurrences, all that a one-word part asks for; ``places`` are for phrases.
+    """
+    columns = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(w).alias("w"), F.col(c).alias("toks")) for c, w in WEIGHTS.items()])
+    rows = _token_columns(texts).select("row_id", _n_tokens(), F.explode(columns).alias("x"))
+    rows = rows.select("row_id", "n_tokens", "x.col", "x.w", F.posexplode("x.toks").alias("pos", "term"))
+    return rows.groupBy("term", "row_id", "n_tokens").agg(F.sum("w").alias("f"), F.array_sort(F.collect_list(F.struct("col", "pos"))).alias("places"))
+
+
 def lengths(texts: DataFrame) -> DataFrame:
     """``row_id, n_tokens`` over all columns of the index; no shuffle."""
     return _token_columns(texts).select("row_id", _n_tokens())
@@ -79,23 +90,33 @@ def occurrences(index: DataFrame, queries: DataFrame) -> DataFrame:
     """
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
     row = [c for c in ("row_id", "n_tokens") if c in index.columns]
-    hits = index.join(queries, "term").select("qid", "phrase", "size", "n_parts", *row, "col", (F.col("pos") - F.col("off")).alias("at"))
+    if "places" in index.columns:
+        one = index.join(queries.where("size = 1"), "term").select("qid", "phrase", "n_parts", *row, "f")
+        hits = index.join(queries.where("size > 1"), "term").select("qid", "phrase", "off", "size", "n_parts", *row, F.inline("places"))
+    else:
+        one, hits = None, index.join(queries, "term")
+    hits = hits.select("qid", "phrase", "size", "n_parts", *row, "col", (F.col("pos") - F.col("off")).alias("at"))
     whole = hits.groupBy("qid", "phrase", "size", "n_parts", *row, "col", "at").count().where("count = size")
-    return whole.groupBy("qid", "phrase", "n_parts", *row).agg(F.sum(weight[F.col("col")]).alias("f"))
+    found = whole.groupBy("qid", "phrase", "n_parts", *row).agg(F.sum(weight[F.col("col")]).alias("f"))
+    return found if one is None else one.unionByName(found)
 
 
-def scored(index: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
+def scored(index: DataFrame, sizes: DataFrame | tuple[int, float], queries: DataFrame) -> DataFrame:
     """``qid, row_id, score, n_matched, n_parts``: BM25, negative, smaller is better.
 
-    ``index`` may bring ``n_tokens`` of its rows along; else they are joined from ``sizes``.
+    ``index`` may bring ``n_tokens`` of its rows along; else they are joined from ``sizes``, which may be the numbers of rows
+    and of their tokens where it does.
     """
     found = occurrences(index, queries)
     # a count of f, so that both readers of found are the same plan and share its exchange
     df = found.groupBy("qid", "phrase").agg(F.count("f").alias("df"))
-    total = sizes.agg(F.count("*").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens")).select(F.lit(1).alias("one"), "*")
     rows = found.join(df, ["qid", "phrase"])
     rows = rows if "n_tokens" in rows.columns else rows.join(sizes, "row_id")
-    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
+    if isinstance(sizes, tuple):
+        rows = rows.withColumn("n_rows", F.lit(sizes[0])).withColumn("mean_tokens", F.lit(float(sizes[1]) / max(sizes[0], 1)))
+    else:
+        total = sizes.agg(F.count("*").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens")).select(F.lit(1).alias("one"), "*")
+        rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     score = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))

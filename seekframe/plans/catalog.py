@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config, Mode, Search
+from ..config import Config, Indexing, Mode, Search
 from ..functions import text as T
 from ..functions.chunk import assembled, chunks
 from ..functions.clean import cleaned, without_junk
@@ -17,7 +17,8 @@ from ..functions.snippet import tokenize
 from ..operators import dense, evaluate, filters, fusion, lexical, rerank
 from ..query import parse
 from ..sources import feed
-from ..sources.store import Store, latest_changes, numbered
+from ..sources.durable import numbered, shared_dir
+from ..sources.store import Store, latest_changes
 from ..streaming.ingest import counters
 from . import fixtures as X
 from .search import Searcher
@@ -268,6 +269,33 @@ def chunk_assemble_whole(spark, sf_dir):
     return assembled_bodies(X.messages(spark, sf_dir))
 
 
+#: Filters as they are written, and in SQL; all choices of them but the empty one, each with a vector, in one plan.
+_CHOICES = (
+    {"": "true", "folder:inbox": "folder = 'inbox'", "in:ARCHIVE": "folder = 'archive'", "folder:sentitems": "folder = 'sentitems'"},
+    {"": "true"} | {f"to:user{i}": f"recipients ILIKE '%user{i}%'" for i in range(7)},
+    {"": "true", "has:attachment": "has_attachments"},
+    {"": "true", "after:2024-01-02": "received_unix >= 1704153600", "before:2024-01-03": "received_unix < 1704240000"},
+)
+FILTERED = {" ".join(filter(None, x)): " AND ".join(c[k] for c, k in zip(_CHOICES, x)) for x in product(*_CHOICES) if any(x)}
+FILTERED |= {f"from:src{i}": f"(sender_address ILIKE '%src{i}%' OR sender_name ILIKE '%src{i}%')" for i in range(9)}
+
+
+def vector_filtered_many(spark, sf_dir):
+    """The best vectors of two hundred queries, each with filters of its own."""
+    known = _query_vectors(spark, sf_dir)
+    asked = {f: known[f"v{VECTORS[i % len(VECTORS)]}"] for i, f in enumerate(FILTERED) if f"v{VECTORS[i % len(VECTORS)]}" in known}
+    allowed = filters.allowed_many(X.messages(spark, sf_dir), {f: parse(f) for f in asked})
+    found = dense.top(dense.embedded(X.chunks(spark, sf_dir)), asked, 20, allowed)
+    return found.select("qid", "row_id", "chunk_id", F.round("score", 6).alias("score"), F.col("vector_rank").cast("long").alias("vector_rank"))
+
+
+def _filtered_sql() -> str:
+    asked = " UNION ALL ".join(f"SELECT '{f}' AS fid, 'v{VECTORS[i % len(VECTORS)]}' AS vid, row_id FROM messages WHERE {c}" for i, (f, c) in enumerate(FILTERED.items()))
+    return f"""WITH {X.MESSAGES_SQL}, {_VECTOR_SQL}, may AS ({asked})
+SELECT fid AS qid, b.row_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY fid ORDER BY score DESC, chunk_id) AS vector_rank FROM best b JOIN may m ON b.qid = m.vid AND b.row_id = m.row_id
+QUALIFY row_number() OVER (PARTITION BY fid ORDER BY b.score DESC, chunk_id) <= 20"""
+
+
 #: Mail texts made of documents: quoted replies, signatures, invisible characters.
 _WRAPS = (
     "\n\n-----Original Message-----\nFrom: A\nSent: today\n\nan older text",
@@ -315,10 +343,13 @@ def sync_counters(spark, sf_dir):
     return counters(X.changes(spark, sf_dir))
 
 
+def _store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", Indexing(clean_bodies=False))
+
+
 def store_upsert(spark, sf_dir):
     """The change feed applied to an empty store in two deliveries, the second one twice."""
-    place = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
-    store = Store(spark, f"{place}/store-{uuid.uuid4().hex}")
+    store = _store(spark)
     every = X.changes(spark, sf_dir)
     half = every.agg(F.avg("seq")).first()[0] or 0
     store.apply(every.where(F.col("seq") < half), batch="1")
@@ -327,6 +358,46 @@ def store_upsert(spark, sf_dir):
     return store.messages.select("id", "subject", "body_raw", "folder")
 
 
+#: How often each document stands in the wide feed.
+COPIES = 20
+
+
+def _wide(spark, sf_dir):
+    """Every document ``COPIES`` times under ids of their own, with its whole text."""
+    rows = X.message_changes(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    name = F.concat("id", F.lit("-"), "copy")
+    return rows.select((F.col("seq") * COPIES + F.col("copy")).alias("seq"), name.alias("id"), "folder", F.col("message").withField("id", name).alias("message"))
+
+
+def store_wide(spark, sf_dir):
+    """A delivery of many long messages: each is stored, once."""
+    store = _store(spark)
+    done = store.apply(_wide(spark, sf_dir), batch="wide:0")
+    return store.messages.select("row_id", "id", F.md5("body_raw").alias("md5"), F.lit(done["upserted"]).cast("long").alias("upserted"))
+
+
+def numbering_wide(spark, sf_dir):
+    return numbered(_wide(spark, sf_dir), "seq").select("n", "id", F.length("message.body").cast("long").alias("n_chars"))
+
+
+def _stored(spark, sf_dir) -> Store:
+    """``messages`` in a store: every tenth first in an older version, which a second delivery replaces."""
+    store, feed_ = _store(spark), X.message_changes(spark, sf_dir)
+    older = F.when(F.col("seq") % 10 == 0, F.col("message").withField("body", F.lit("the with an older version"))).otherwise(F.col("message"))
+    store.apply(feed_.withColumn("message", older), batch="mail:0")
+    store.apply(feed_.where("seq % 10 = 0"), batch="mail:1")
+    return store
+
+
+def bm25_stored(spark, sf_dir):
+    """The same search as bm25_or from the index that the store keeps; replaced messages come after the others."""
+    store = _stored(spark, sf_dir)
+    rows = lexical.scored(store.index.where(F.col("term").isin(*sorted(lexical.terms_of(WORDS)))), store.totals, lexical.asked(spark, WORDS))
+    best = _ranked(lexical.top(rows, LIMIT, "or")).join(store.messages.select("row_id", "id"), "row_id")
+    doc = F.substring("id", 5, 20).cast("long")
+    return best.select("qid", F.when(doc % 10 == 0, doc + 1_000_000_000_000).otherwise(doc).alias("row_id"), "score", "keyword_rank")
+
+
 def row_numbering(spark, sf_dir):
     return numbered(X.changes(spark, sf_dir).select("seq", "id"), "id", "seq")
 
@@ -389,7 +460,7 @@ QUERIES = {f.__name__: f for f in (
     filter_from_date_attach, filter_to, filter_folder_nocase, filter_only_newest, resolve_reference, batch_lookup, store_stats, token_df, bm25_and, bm25_or, bm25_phrase, bm25_fallback,
     bm25_filtered_overfetch, vector_topk, vector_filtered, best_chunk_per_message, rrf_fusion, rrf_identifier_weight, hybrid_search, rerank_overlap, keyword_search, snippet_fallback,
     chunk_documents, chunk_assemble, chunk_assemble_whole, clean_body, clean_junk, latest_change_per_id, sync_counters, store_upsert, row_numbering, eval_metrics, eval_first_ranks, recipients, display_fields,
-    identifier_words, feed_messages, embed_words,
+    identifier_words, feed_messages, embed_words, store_wide, numbering_wide, bm25_stored, vector_filtered_many,
 )}
 
 _M = f"WITH {X.MESSAGES_SQL}"
@@ -433,3 +504,11 @@ ORACLES = {
     "feed_messages": "SELECT doc_id AS seq, 'm' || doc_id AS id, CASE WHEN doc_id % 10 <> 0 THEN lang END AS subject, CASE WHEN doc_id % 10 <> 0 THEN source || ' <' || source || '@x.example>' ELSE '' END AS recipients, CASE WHEN doc_id % 10 <> 0 THEN doc_id % 4 = 0 END AS has_attachments, CASE WHEN doc_id % 10 <> 0 THEN length(text) END AS n_chars, doc_id % 10 = 0 AS removed FROM documents",
 }
 ORACLES["hybrid_search"] = f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY place) AS place, score, row_id FROM ({_rrf_sql(1.0, 20)}) WHERE row_id IN (SELECT doc_id FROM documents)"
+_LATER = X.MESSAGES_SQL.replace("doc_id AS row_id", "doc_id + CASE WHEN doc_id % 10 = 0 THEN 1000000000000 ELSE 0 END AS row_id", 1)
+_COPIES = f"FROM documents, range({COPIES}) c(copy)"
+ORACLES |= {
+    "store_wide": f"SELECT row_number() OVER (ORDER BY doc_id, copy) AS row_id, 'doc-' || doc_id || '-' || copy AS id, md5(coalesce(text, '')) AS md5, count(*) OVER () AS upserted {_COPIES}",
+    "numbering_wide": f"SELECT row_number() OVER (ORDER BY doc_id, copy) AS n, 'doc-' || doc_id || '-' || copy AS id, length(text) AS n_chars {_COPIES}",
+    "bm25_stored": ORACLES["bm25_or"].replace(X.MESSAGES_SQL, _LATER),
+    "vector_filtered_many": _filtered_sql(),
+}

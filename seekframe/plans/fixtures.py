@@ -51,3 +51,16 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("g"), F.lit(None).cast("string").alias("h"), F.col("props").alias("body"),
     )
     return rows.select("seq", "id", "folder", F.when(F.col("event_type") != "error", message).cast(MESSAGE).alias("message"))
+
+
+def message_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``messages`` as a change feed in the order of their ids."""
+    from ..schema import MESSAGE
+
+    none = F.lit(None)
+    address = F.struct(none.cast("string").alias("name"), F.col("recipients").alias("address"))
+    message = F.struct(
+        "id", "internet_message_id", "conversation_id", "folder", "subject", F.struct(F.col("sender_name").alias("name"), F.col("sender_address").alias("address")).alias("sender"),
+        F.array(address).alias("to"), F.array().cast("array<struct<name:string,address:string>>").alias("cc"), "received", "has_attachments", "web_link", F.col("body").alias("body"),
+    )
+    return messages(spark, sf_dir).select(F.col("row_id").alias("seq"), "id", "folder", message.cast(MESSAGE).alias("message"))

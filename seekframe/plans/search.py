@@ -15,56 +15,54 @@ from ..functions.snippet import snippet, tokenize
 from ..functions.text import one_line, truncated, without_header
 from ..operators import dense, evaluate, filters, fusion, lexical, rerank
 from ..query import Query, parse
+from ..sources.store import Store
 
 
 class Searcher:
     """Searches messages, their chunks and their index.  The tables may be persisted with ``load``."""
 
-    def __init__(self, messages: DataFrame, chunks: DataFrame, provider: Embedder | None = None, reranker: Reranker | None = None, config: Config | None = None, stored_model: str | None = None, index: DataFrame | None = None, sizes: DataFrame | None = None):
+    def __init__(self, messages: DataFrame, chunks: DataFrame, provider: Embedder | None = None, reranker: Reranker | None = None, config: Config | None = None, stored_model: str | None = None, index: DataFrame | None = None, sizes: DataFrame | tuple[int, float] | None = None):
         self.spark: SparkSession = messages.sparkSession
         self.messages, self.chunks = messages, chunks
         self.provider, self.reranker = provider, reranker
         self.config, self.stored_model = config or Config(), stored_model
         # without an index, searches scan the texts for their own terms; load() builds it
         self.index, self.sizes = index, sizes
+        self.vectors: DataFrame | None = None
         self._loaded: list[DataFrame] = []
 
+    @classmethod
+    def of(cls, store: Store, provider: Embedder | None = None, reranker: Reranker | None = None, config: Config | None = None) -> Searcher:
+        """Over the last version of a store, with its index."""
+        return cls(store.messages, store.chunks, provider, reranker, config, store.meta("embedding_model"), store.index, store.totals)
+
     def load(self) -> Searcher:
         """Keep the index and the vectors in memory, where they fit, between searches."""
         if not self._loaded:
-            texts = lexical.searchable(self.messages)
-            index = lexical.postings(texts) if self.index is None else self.index
-            sizes = lexical.lengths(texts) if self.sizes is None else self.sizes
-            self._loaded = [x.persist() for x in (index, sizes, dense.embedded(self.chunks))]
+            if self.index is None:
+                texts = lexical.searchable(self.messages)
+                self.index, self.sizes = lexical.indexed(texts), lexical.lengths(texts).persist()
+                self._loaded = [self.sizes]
+            self.index, self.vectors = self.index.persist(), dense.embedded(self.chunks).persist()
+            self._loaded += [self.index, self.vectors]
         return self
 
-    def _index(self, parts: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
-        if self._loaded:
-            return self._loaded[0], self._loaded[1]
+    def _index(self, parts: dict[str, list[str]]) -> tuple[DataFrame, DataFrame | tuple[int, float]]:
         if self.index is not None and self.sizes is not None:
-            return self.index, self.sizes
+            # the scan of a stored index reads the files that may hold these terms
+            return self.index.where(F.col("term").isin(*sorted(lexical.terms_of(parts)))), self.sizes
         return lexical.scanned(lexical.searchable(self.messages), lexical.terms_of(parts))
 
     def unload(self) -> None:
         for x in self._loaded:
             x.unpersist()
-        self._loaded = []
+        self._loaded, self.vectors = [], None
         for model in (self.provider, self.reranker):
             if hasattr(model, "unload"):
                 model.unload()
 
     def _vectors(self) -> DataFrame:
-        return self._loaded[2] if self._loaded else dense.embedded(self.chunks, self.provider.dims)
-
-    def _allowed(self, queries: dict[str, Query]) -> DataFrame | None:
-        """``qid, row_id`` that filters let pass, for the queries that have any."""
-        out = None
-        for qid, q in queries.items():
-            rows = filters.allowed(self.messages, q)
-            if rows is not None:
-                rows = rows.select(F.lit(qid).alias("qid"), "row_id")
-                out = rows if out is None else out.unionAll(rows)
-        return out
+        return self.vectors if self.vectors is not None else dense.embedded(self.chunks, self.provider.dims)
 
     def _keyword(self, queries: dict[str, Query], limit: int) -> DataFrame:
         parts = {qid: q.parts for qid, q in queries.items()}
@@ -74,7 +72,7 @@ class Searcher:
         for own, limited in ((free, False), ([q for q in queries if q not in free], True)):
             if own:
                 found = rows.where(F.col("qid").isin(own))
-                allowed = self._allowed({q: queries[q] for q in own}) if limited else None
+                allowed = filters.allowed_many(self.messages, {q: queries[q] for q in own}) if limited else None
                 found = lexical.top(found, limit, "fallback", allowed, self.config.search.exact_overfetch)
                 out = found if out is None else out.unionAll(found)
         return out
@@ -87,7 +85,7 @@ class Searcher:
         for limited in (False, True):
             own = {qid: self.provider.embed_query(q.semantic_text) for qid, q in queries.items() if q.has_filters == limited}
             if own:
-                allowed = self._allowed({q: queries[q] for q in own}) if limited else None
+                allowed = filters.allowed_many(self.messages, {q: queries[q] for q in own}) if limited else None
                 found = dense.top(self._vectors(), own, limit, allowed)
                 out = found if out is None else out.unionAll(found)
         return out
@@ -100,12 +98,10 @@ class Searcher:
             raise ValueError("no reranker is configured")
         limit = max(settings.candidate_count, top)
         out = None
-        for qid, q in parsed.items():
-            if not q.has_text:
-                rows = filters.newest(self.messages, q, top)
-                order = Window.partitionBy(F.lit(1)).orderBy(F.desc("received_unix"), "row_id")
-                rows = rows.select(F.lit(qid).alias("qid"), F.row_number().over(order).alias("rank"), F.lit(0.0).alias("score"), "row_id", one_line(F.col("snippet")).alias("snippet"), F.lit(None).cast("int").alias("keyword_rank"), F.lit(None).cast("int").alias("vector_rank"))
-                out = rows if out is None else out.unionByName(rows)
+        bare = {qid: q for qid, q in parsed.items() if not q.has_text}
+        if bare:
+            none = F.lit(None).cast("int")
+            out = filters.newest_many(self.messages, bare, top).select("qid", "rank", F.lit(0.0).alias("score"), "row_id", one_line(F.col("snippet")).alias("snippet"), none.alias("keyword_rank"), none.alias("vector_rank"))
         asked = {qid: q for qid, q in parsed.items() if q.has_text}
         if not asked:
             return out if out is not None else self.spark.createDataFrame([], "qid string, rank int, score double, row_id long, snippet string, keyword_rank int, vector_rank int")
@@ -114,9 +110,7 @@ class Searcher:
         elif mode == Mode.VECTOR:
             fused = fusion.single(self._vector(asked, limit), "vector_rank")
         else:
-            weight = F.lit(None).cast("double")
-            for qid, q in asked.items():
-                weight = F.when(F.col("qid") == qid, fusion.vector_weight(q, settings)).otherwise(weight)
+            weight = F.create_map(*[x for qid, q in asked.items() for x in (F.lit(qid), F.lit(float(fusion.vector_weight(q, settings))))])[F.col("qid")]
             fused = fusion.reciprocal_ranks(self._keyword(asked, limit), self._vector(asked, limit), weight, settings.rrf_k)
         fused = fusion.ranked(fused)
         if mode == Mode.RERANK:
