@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="seekframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,9 +29,18 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages and retries start from the files."""
+#: Rows of a few numbers that one file may hold: small tables are not spread over as many files as there are partitions.
+FILE_ROWS = 1 << 16
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later stages and retries start from the files.
+
+    ``rows``: where it is known that there are no more; the table then has a file for each ``FILE_ROWS`` of them at most.
+    """
     path = table_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -107,6 +118,50 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+class Arena:
+    """Results for keys, as columns of byte strings; a slab of keys is looked up once for each distinct one.
+
+    Keys that aren't held go to ``make``, which gives one binary array a column.  When more than ``limit`` keys or
+    ``most`` bytes would be held, only those that the slab in hand asks for stay.
+    """
+
+    def __init__(self, make, columns: int, limit: int, most: int = 1 << 26):
+        self.make, self.columns, self.limit, self.most = make, columns, limit, most
+        self.slot: dict[bytes, int] = {}
+        self.held = [binary(np.zeros(0, np.uint8), np.zeros(1, np.int64)) for _ in range(columns)]
+
+    def slots(self, keys: pa.Array) -> np.ndarray:
+        """The place of each key's results."""
+        coded = keys.dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        get = self.slot.get
+        place = np.fromiter([get(k, -1) for k in listed], np.int64, len(listed))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if len(self.slot) + len(new) > self.limit or any(len(h.buffers()[2] or b"") > self.most for h in self.held):
+                stay = np.flatnonzero(place >= 0)
+                self.held = [h.take(pa.array(place[stay])) for h in self.held]
+                place[stay] = np.arange(len(stay))
+                self.slot = {listed[i]: n for n, i in enumerate(stay.tolist())}
+            n = len(self.slot)
+            place[new] = np.arange(n, n + len(new))
+            made = self.make(coded.dictionary.take(pa.array(new)))
+            self.held = [pa.concat_arrays([h, m]) for h, m in zip(self.held, made)]
+            self.slot.update(zip([listed[i] for i in new.tolist()], range(n, n + len(new))))
+        return place[coded.indices.to_numpy()]
+
+    def take(self, column: int, slots: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The results at ``slots`` one after the other, and their n + 1 offsets."""
+        found = self.held[column].take(pa.array(slots))
+        _, ends, data = found.buffers()
+        return memoryview(data if data is not None else b""), np.frombuffer(ends, np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
+
+
+def binary(data: np.ndarray | bytes, offsets: np.ndarray) -> pa.Array:
+    """Byte strings from their bytes and n + 1 offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(data)])
+
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -127,27 +182,29 @@ def word_spans(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, root)``, root the smallest node reachable.
 
     Alternating large and small stars; every round is written to the shared folder, so lineage stays short and
-    nothing is gathered on the driver but a count and a checksum.  Nodes without an edge are not returned.
+    nothing is gathered on the driver but a count and a checksum.  Nodes without an edge are not returned.  ``most``: about
+    how many edges there are, for the number of the first files.
     """
-    state = cut(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = cut(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", most)
     seen = None
     while True:
         now = state.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now[0] == 0 or now == seen:
             break
         seen = now
+        # neither star has more edges than both directions of these
         both = state.select("u", "v").unionAll(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, "large")
+        large = cut(large, "large", 2 * now[0])
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(least, F.col("u") == F.col("k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        state, old = cut(small, "small"), state
+        state, old = cut(small, "small", 2 * now[0]), state
         drop_table(old)
         drop_table(large)
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(state.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
