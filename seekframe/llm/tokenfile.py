@@ -19,7 +19,6 @@ import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slabs, table_path, text_buffer
+from .common import Arena, binary, cut, table_path
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 LIMIT = 16
 STRIDE = 64
 BLOCK = 1 << 19
-CACHE = 600_000
-SYMBOLS = string.punctuation.encode()
+CACHE = 400_000
+SLAB = 1 << 21
+SYMBOL = np.isin(np.arange(256), np.frombuffer(string.punctuation.encode(), np.uint8))
+LETTER = np.isin(np.arange(256), np.frombuffer(string.ascii_letters.encode(), np.uint8))
+#: So many symbols at the end of a stretch may be parted from it.
+TAIL = 4
 
 # The normalisation and splitting that the plain words' shorter way is right for.
 STEPS = (
@@ -57,12 +60,13 @@ del LETTERS[32]  # blanks still part the words
 
 
 class Encoder:
-    """A tokenizer file; ids of the stretches between blanks and newlines are kept in two generations.
+    """A tokenizer file; ids of the stretches between blanks and newlines are kept.
 
     Stretches are kept in lower case (which the tokenizer makes of them anyway) where the text has no combining marks,
-    and a stretch of letters with ASCII symbols at its end is put together from the two. Plain lower-case words that
-    the tokenizer's normalisation leaves as they are go straight to its merges, if its steps are those of ``STEPS``.
-    Ids are of 2 bytes each where the whole vocabulary fits, else of 4.
+    and ASCII symbols at a stretch's end, after an ASCII letter, are a stretch of their own: the tokenizer parts them there.
+    Plain lower-case words that its normalisation leaves as they are go straight to its merges, if its steps are those of
+    ``STEPS``. Ids are of 2 bytes each where the whole vocabulary fits, else of 4. A slab's stretches are looked up once for
+    each distinct one, and its ids are put together by Arrow.
     """
 
     _known: dict[str, Encoder] = {}
@@ -82,12 +86,12 @@ class Encoder:
         self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)
-        self.plain = None
+        self.plain, self.splits = None, False
         if (steps["normalizer"], steps["pre_tokenizer"]) == STEPS:
             self.plain = Tokenizer(self.tokenizer.model)
             self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.cache: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
+            self.splits = True
+        self.arena = Arena(self.coded, 1, CACHE)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -98,32 +102,24 @@ class Encoder:
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, units: set[bytes]) -> None:
-        """See that the cache holds these stretches; a full cache becomes the older generation first."""
-        if len(self.cache) > CACHE:
-            self.cache, self.old = {b"": b""}, self.cache
-        cache, old = self.cache, self.old
-        ascii_, latin, words, rest, joined, asked = [], [], [], [], [], []
-        for u in units:
-            if not u.isalpha():
-                core = u.rstrip(SYMBOLS)
-                if core and len(core) < len(u) and u not in old and self._letters(core):
-                    joined.append((u, core, u[len(core) :]))
-                    asked += joined[-1][1:]
-                    continue
-            asked.append(u)
-        for u in set(asked):
-            if u in cache:
-                continue
-            if u in old:
-                cache[u] = old[u]
-            elif u.isalpha():
-                ascii_.append((u, u.decode().lower()))
+    def coded(self, units: pa.Array) -> list[pa.Array]:
+        """The ids of stretches, as bytes."""
+        ascii_, latin, words, rest = [], [], [], []
+        for n, u in enumerate(units.to_pylist()):
+            if u.isalpha():
+                ascii_.append((n, u.decode().lower()))
             else:
                 text = u.decode("utf-8", "replace")
-                (rest if not text.isalpha() else latin if max(text) < "\u0180" and text == text.lower() else words).append((u, text))
+                (rest if not text.isalpha() else latin if max(text) < "\u0180" and text == text.lower() else words).append((n, text))
         if self.plain is None:
             words, ascii_, latin = words + ascii_ + latin, [], []
+        data, sizes, order = [], [], []
+
+        def keep(part: list[tuple[int, str]], ids: np.ndarray, edge: np.ndarray) -> None:
+            data.append(ids)
+            sizes.append(np.diff(edge))
+            order.extend([n for n, _ in part])
+
         for coder, listed in ((self.plain, ascii_), (self.plain, latin), (self.tokenizer, words)):
             for i in range(0, len(listed), 4096):
                 part = listed[i : i + 4096]
@@ -135,54 +131,79 @@ class Encoder:
                 if len(edge) != len(part):
                     rest += part
                     continue
-                self._keep(part, ids, np.concatenate([[0], edge]))
+                keep(part, ids, np.concatenate([[0], edge]))
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             coded = self.tokenizer.encode([t for _, t in part], is_pretokenized=True, add_special_tokens=False)
             owner = np.array([-1 if w is None else w for w in coded.word_ids], np.int64)
-            self._keep(part, np.array(coded.ids, self.kind), np.searchsorted(owner, np.arange(len(part) + 1)))
-        for u, core, tail in joined:
-            cache[u] = cache[core] + cache[tail]
-
-    @staticmethod
-    def _letters(core: bytes) -> bool:
-        """Whether these are letters for every release of Unicode, and still are in lower case."""
-        if core.isalpha():
-            return True
-        text = core.decode("utf-8", "replace")
-        return max(text) < "\u0180" and text.lower().isalpha()
-
-    def _keep(self, part: list[tuple[bytes, str]], ids: np.ndarray, edge: np.ndarray) -> None:
-        data, edge = ids.tobytes(), (ids.itemsize * edge).tolist()
-        for (u, _), a, b in zip(part, edge[:-1], edge[1:]):
-            self.cache[u] = data[a:b]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text in ``kind``, the end id not yet among them."""
+            keep(part, np.array(coded.ids, self.kind), np.searchsorted(owner, np.arange(len(part) + 1)))
+        edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * self.kind.itemsize
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return [binary(np.concatenate(data).tobytes(), edge).take(pa.array(back))]
+
+    def encode(self, texts: list[bytes]) -> tuple[memoryview, np.ndarray]:
+        """Ids of the texts in ``kind``, one after the other, the end ids not yet among them; and the n + 1 offsets of their bytes."""
         # An added token's string is cut out of the text before anything else, so such a text is encoded whole.
-        listed = [None if any(a in t for a in self.added) else self._fold(t).replace(b"\n", b" ").split(b" ") for t in texts]
-        found = [None if x is None else list(map(self.cache.get, x)) for x in listed]
-        lacking = [i for i, x in enumerate(found) if x is not None and None in x]
-        self.learn({u for i in lacking for u, ids in zip(listed[i], found[i]) if ids is None})
-        for i in lacking:
-            found[i] = [self.cache[u] if ids is None else ids for u, ids in zip(listed[i], found[i])]
-        return [np.frombuffer(self.whole(t), np.uint32).astype(self.kind).tobytes() if x is None else b"".join(x) for x, t in zip(found, texts)]
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        whole = {i: np.frombuffer(self.whole(texts[i]), np.uint32).astype(self.kind).tobytes() for i in odd}
+        folded = [b"" if i in whole else self._fold(t) for i, t in enumerate(texts)]
+        data = np.frombuffer(b"".join(folded), np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(t) for t in folded])]).astype(np.int64)
+        between = (data == 0x20) | (data == 0x0A)
+        starts = ~between
+        starts[1:] &= between[:-1]
+        inner = edges[edges < len(data)]
+        starts[inner] = ~between[inner]
+        if self.splits:
+            last = between.copy()
+            last[:-1], last[-1:] = between[1:], True
+            last[inner[inner > 0] - 1] = True
+            at = np.flatnonzero(last & SYMBOL[data])
+            for _ in range(TAIL):
+                at = at[at > 0] - 1
+                # a symbol after an ASCII letter of the same stretch starts one of its own; after another symbol the search goes on
+                at = at[~starts[at + 1]]
+                starts[at[LETTER[data[at]]] + 1] = True
+                at = at[SYMBOL[data[at]]]
+        begin = np.flatnonzero(starts)
+        gaps = np.concatenate([[0], np.cumsum(between)])
+        joined = data[~between]
+        slots = self.arena.slots(binary(joined, np.append(begin - gaps[begin], len(joined)))) if len(begin) else begin
+        ids, ends = self.arena.take(0, slots)
+        ends = ends[np.searchsorted(begin, edges)].astype(np.int64)
+        if not whole:
+            return ids, ends
+        own = [whole.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))]
+        return memoryview(b"".join(own)), np.concatenate([[0], np.cumsum([len(x) for x in own])])
 
     def _fold(self, text: bytes) -> bytes:
         return text.lower() if self.folds and b"\xcc" not in text and b"\xcd" not in text else text
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of about ``SLAB`` bytes together, and the number of the first."""
+    at, held, size = 0, [], 0
+    for i, t in enumerate(batch.column(1)):
+        if held and size + (len(t.as_buffer()) if t.is_valid else 0) > SLAB:
+            yield at, held
+            at, held, size = i, [], 0
+        held.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
+        size += len(held[-1])
+    if held:
+        yield at, held
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         end, wide = np.array([END], encoder.kind).tobytes(), encoder.kind.itemsize
         gc.freeze()  # the cache has no cycles and needn't be walked again and again
         for batch in batches:
-            _, offsets = text_buffer(batch.column(1))
-            for i, j in slabs(offsets, 1 << 18):
-                part = batch.slice(i, j - i)
-                ids = [x + end for x in encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for at, texts in _texts(batch):
+                data, edge = encoder.encode(texts)
+                ids = [bytes(data[a:b]) + end for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(np.diff(edge) // wide + 1), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
