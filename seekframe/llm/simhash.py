@@ -143,7 +143,7 @@ def links(fps: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(k))])
     rows = fps.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
     # from files, so that the join below is of two plain shuffles, which Spark can split where a key is hot
-    full = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    full = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets", fps.count())
     parts = F.ceil(F.col("n") / block).cast("int")
     rows = rows.join(full, ["t", "key"]).select("t", "key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.sequence(F.lit(0), parts - 1).alias("others"))
     rows = rows.select("t", "key", "fp", "part", F.explode("others").alias("other"))
@@ -152,19 +152,22 @@ def links(fps: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
     return rows.mapInArrow(_bucket_links(k), "u long, v long")
 
 
-def _rooted(marked: DataFrame, k: int) -> DataFrame:
-    """``(fp, first, root)``: each fingerprint with its least row ``(whether the doc_id is null, doc_id, th)`` and root."""
+def _rooted(marked: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """``(fp, first, root)``: each fingerprint with its least row ``(whether the doc_id is null, doc_id, th)`` and root; and their number."""
     fps = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
-    roots = components(links(fps.select("fp"), k))
-    return cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    fps = cut(fps, "firsts", marked.count())
+    n = fps.count()
+    # links are about as many as fingerprints; files for so many do
+    roots = components(links(fps.select("fp"), k), n)
+    return cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots", n), n
 
 
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
     marked = cut(fingerprints(docs), "fingerprints")
-    named = _rooted(marked, k)
-    least = cut(named.groupBy("root").agg(F.min("first").alias("least")), "least")
-    named = cut(named.select("fp", "root").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id")), "named")
+    named, n = _rooted(marked, k)
+    least = cut(named.groupBy("root").agg(F.min("first").alias("least")), "least", n)
+    named = cut(named.select("fp", "root").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id")), "named", n)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -181,7 +184,7 @@ def stayed(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component one row of the least doc_id, with its own columns."""
     marked = cut(fingerprints(docs), "fingerprints")
-    return stayed(docs, marked, _rooted(marked, k))
+    return stayed(docs, marked, _rooted(marked, k)[0])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
