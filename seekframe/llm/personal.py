@@ -34,28 +34,64 @@ BASE = {
 SECRET_WORDS = ("access", "api", "api_key", "apikey", "auth", "bearer", "credential", "key", "passwd", "password", "private", "pwd", "secret", "token")
 _RUN = "[A-Za-z0-9_/+-]"
 CANDIDATES = {
-    "secret": ("[0-9]", rf"(?:[A-Za-z_]{{2,20}}+\x20?[=:]\x20?[\"']?|[\"'])?(?<!{_RUN})(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z]){_RUN}{{12,200}}+(?![A-Za-z0-9_/+@-])"),
+    "secret": ("[0-9]", rf"(?:[A-Za-z_]{{2,20}}+\x20?[=:]\x20?[\"']?|[\"'])?(?<!{_RUN})(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z]){_RUN}{{12,}}+(?![A-Za-z0-9_/+@-])"),
     "contact": (r"[0-9]{3}[\x20.-][0-9]{4}", r"(?:(?i:tel|phone|call|fax|mobile|contact)[a-z]{0,8}\x20?[:.]?\x20?)?(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 }
 LABELERS = 4
 ROUNDS = 25
 
 
+#: Prefixes of arrays are made in blocks of so many, then blocks' prefixes are put before them: appending copies an array.
+BLOCK = 64
+#: Stands around matches while a text is split; a text's own is another character that no pattern knows.
+MARK, OTHER = "\ufffe", "\uffff"
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """An array that isn't empty in blocks."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(values: Column, combine) -> Column:
+    """For each place of an int array what ``combine`` makes of the values before it, from 0."""
+
+    def step(acc, x):
+        return F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def whole(v):
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        inner = F.transform(_blocks(v), lambda block: F.aggregate(block, start, step))
+
+        def shifted(blocks):
+            bases = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x["at"]))))
+            return F.flatten(F.zip_with(blocks, F.slice(bases, F.lit(1), F.size(blocks)), lambda x, base: F.transform(x["out"], lambda y: combine(base, y))))
+
+        return F.when(F.size(v) > 0, _bound(inner, shifted)).otherwise(F.array().cast("array<int>"))
+
+    return _bound(values, whole)
+
+
 def matches(text: Column, test: str, pattern: str) -> Column:
-    """Matches of a pattern with their offsets in code points: ``array<struct<m, s, e>>``."""
+    """Matches of a pattern with their offsets in code points: ``array<struct<m, s, e>>``.
+
+    One pass of the pattern puts marks around the matches; what stands between two marks is by turns a gap and a match.
+    """
     kind = "array<struct<m:string,s:int,e:int>>"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    plain = F.when(text.contains(MARK), F.translate(text, MARK, OTHER)).otherwise(text)
+    parts = F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))).alias("out"))
+    def placed(p):
+        def found(at):
+            return F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), lambda i: F.struct(p[i].alias("m"), at[i].alias("s"), at[i + 1].alias("e")))
+
+        return F.when(F.size(p) > 1, _bound(running(F.transform(p, F.length), lambda a, b: a + b), found)).otherwise(F.array().cast(kind))
 
-    empty = F.array().cast(kind)
-    return F.when(text.rlike(test), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(text.rlike(test), _bound(parts, placed)).otherwise(F.array().cast(kind))
 
 
 def _digits(x: Column) -> Column:
@@ -148,8 +184,33 @@ def found_in(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *spans, _apart("candidates", F.concat(*spans)).alias("candidates"))
 
 
-def _apart(name: str, base: Column) -> Column:
-    return F.filter(name, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+#: Up to so many pairs of candidates and base spans are held against each other; beyond, both are sorted first.
+PAIRS = 4096
+
+
+def _apart(name: str | Column, base: Column) -> Column:
+    """The candidates that overlap no base span."""
+    every = F.col(name) if isinstance(name, str) else name
+
+    def plain(c, b):
+        return F.filter(c, lambda x: ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+
+    def ordered(c, b):
+        # by start, base spans first: a base span before reaches into a candidate, or the next one starts inside of it
+        far = 1 << 30
+        spans = F.concat(F.transform(b, lambda y: F.struct(y["s"].alias("s"), F.lit(-1).alias("i"), y["e"].alias("e"))), F.transform(c, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x["e"].alias("e"))))
+
+        def flagged(rows):
+            reach = running(F.transform(rows, lambda r: F.when(r["i"] < 0, r["e"]).otherwise(0)), F.greatest)
+            following = F.reverse(running(F.reverse(F.transform(rows, lambda r: F.when(r["i"] < 0, far - r["s"]).otherwise(0))), F.greatest))
+            free = F.zip_with(reach, following, lambda x, y: F.struct(x.alias("x"), (far - y).alias("y")))
+            alone = F.zip_with(rows, free, lambda r, f: F.struct(r["i"].alias("i"), ((f["x"] <= r["s"]) & (f["y"] >= r["e"])).alias("alone")))
+            flags = F.array_sort(F.filter(alone, lambda r: r["i"] >= 0))
+            return _bound(flags, lambda t: F.filter(c, lambda x, i: t[i]["alone"]))
+
+        return _bound(F.array_sort(spans), flagged)
+
+    return _bound(every, lambda c: _bound(base, lambda b: F.when(F.size(c) * F.size(b) <= PAIRS, plain(c, b)).otherwise(ordered(c, b))))
 
 
 def posteriors(found: DataFrame) -> DataFrame:
@@ -236,18 +297,27 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     while spans in docs.columns:
         spans += "_"
     # the base spans are bound once, then candidates are held against them
-    every = F.transform(F.array(base), lambda b: F.array_sort(F.concat(b, added(F.filter(candidates(source), lambda c: ~F.exists(b, lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"]))), weights))))[0]
+    every = F.transform(F.array(base), lambda b: F.array_sort(F.concat(b, added(_apart(candidates(source), b), weights))))[0]
 
-    def step(acc, x):
-        # a span that starts before the end of the last one only makes it longer
-        fresh = x["s"] >= acc["at"]
-        between = F.substring(source, acc["at"] + 1, x["s"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], F.array(between, names[x["k"]]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(source, acc["at"] + 1, F.length(source))))
-    return docs.withColumn(spans, every).withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(source)).drop(spans)
+    def whole(found):
+        """The text put together of blocks of spans; in a block, only its own stretch of the text is looked at."""
+
+        def joined(before):
+            rows = F.transform(F.zip_with(found, before, lambda x, at: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), at.alias("at"))), lambda x: x)
+
+            def of(block):
+                start, end = block[0]["at"], F.array_max(F.transform(block, lambda x: F.greatest(x["at"], x["e"])))
+                stretch = F.substring(source, start + 1, end - start)
+                # a span that starts before the end of the last one only makes it longer
+                one = lambda text: lambda x: F.when(x["s"] >= x["at"], F.concat(F.substring(text, x["at"] - start + 1, x["s"] - x["at"]), names[x["k"]])).otherwise("")
+                return _bound(stretch, lambda text: F.array_join(F.transform(block, one(text)), ""))
+
+            last = F.array_max(F.transform(found, lambda x: x["e"]))
+            return F.concat(F.array_join(F.transform(_bound(rows, _blocks), of), ""), F.substring(source, last + 1, F.length(source)))
+
+        return _bound(running(F.transform(found, lambda x: x["e"]), F.greatest), joined)
+
+    return docs.withColumn(spans, every).withColumn(text, F.when(F.size(spans) > 0, _bound(F.col(spans), whole)).otherwise(source)).drop(spans)
 
 
 def op10_personal(spark, sf_dir: str) -> DataFrame:
