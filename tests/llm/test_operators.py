@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from seekframe.llm import common, fertility, langid, mixing, nearcopies, personal, pieces, quality, registry, simhash, suffixes, tokenfile, vectors
 
+Arena = common.Arena
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and to in der die und les une pour el la que thing other great small house tree river stone cloud".split()
 
@@ -274,12 +276,21 @@ def test_pieces_fuzz(monkeypatch):
     names = [n.replace("▁", " ") for n in tables.names[259:]]
     every = ["".join(rng.choice("abcdetionrs Aé\n  .,01▁ß中😀\x00\r") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     every += ["".join(rng.choice(names) for _ in range(8)) for _ in range(1500)] + [" " * n + "ﬁ" for n in range(40)] + ["a" * 200, "tion" * 300]
-    monkeypatch.setattr(pieces, "CACHE", 500)
-    for i in range(0, len(every), 100):
-        part = every[i : i + 100]
-        for t, found in zip(part, pieces.coded(part, tables)):
-            ids = [int(x) for a, _ in found for x in ",".join(a).split(",")]
-            assert ids == sp.encode(t) and tables.decode(ids) == sp.decode(ids)
+    # units of many windows: with and without places to agree at, and characters that the vocabulary lacks
+    every += ["a" * 5000, "ab" * 3000, "the" * 900, "in" * 400 + "ing" * 300, "漢字" * 900, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)), " " * 500 + "x" + " " * 77]
+    every += ["".join(rng.choice(letters) for _ in range(9000)) for letters in ("ACGT", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/")]
+    # more than a slab: of words, and of one unit
+    every += [" ".join(rng.choice(names) for _ in range(400_000)), "x" * 2_500_000, ""]
+    monkeypatch.setattr(tables, "arena", Arena(tables.coded, 3, 500))
+    assert sum(map(len, every)) > 2 * pieces.SLAB
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(every))), pa.array(every)], names=["doc_id", "text"])]
+    digests = [r for b in pieces._digest(pieces.MODEL)(iter(batches)) for r in b.to_pylist()]
+    rows = [r for b in pieces._encode(pieces.MODEL)(iter(batches)) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [r["doc_id"] for r in digests] == list(range(len(every)))
+    for t, r, d in zip(every, rows, digests):
+        ids = sp.encode(t)
+        assert r["ids"] == ids and r["decoded"] == sp.decode(ids) and d["n_tokens"] == len(ids)
+        assert d["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and d["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
 
 
 def test_token_files(spark, docs, empty):
@@ -299,18 +310,23 @@ def test_token_files(spark, docs, empty):
     assert tokenfile.read(spark, tokenfile.write(empty), digest=True).isEmpty()
 
 
+def coded_apart(encoder, listed):
+    ids, edge = encoder.encode([t.encode() for t in listed])
+    return [np.frombuffer(ids[a:b], encoder.kind).tolist() for a, b in zip(edge[:-1], edge[1:])]
+
+
 def test_stretches_are_encoded_as_the_library_does():
     encoder, rng = tokenfile.Encoder(tokenfile.VOCABULARY), random.Random(5)
     letters = "abcXYZéÉßøñŉİıſ'\u0338\u0301<>=.,$!09 \n\t \u0085ǅК日²ªº·"
     listed = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
-    listed += ["it's we'll don't' a's. b'.' c'd", "zéİ! straße.!! que,,, ŉ. ﬁn.", "<|endoftext|> a", "wörter " * 500, ""]
+    listed += ["it's we'll don't' a's. b'.' c'd", "zéİ! straße.!! que,,, ŉ. ﬁn.", "<|endoftext|> a", "wörter " * 500, "", "a..... b!!!!!!!! c'd'' e-f-- ..g.. ü!! x'", "word" * 3000, "中文" * 2000, " ".join(rng.choice(WORDS) + rng.choice(["", ",", "...", "'s"]) for _ in range(250_000))]
     assert encoder.plain is not None
     for short in (True, False):
-        encoder.plain, encoder.cache, encoder.old = encoder.plain if short else None, {b"": b""}, {}
+        encoder.plain, encoder.splits, encoder.arena = encoder.plain if short else None, short, Arena(encoder.coded, 1, 3000)
         for i in range(0, len(listed), 97):
             part = listed[i : i + 97]
-            for text, ids in zip(part, encoder.encode([t.encode() for t in part])):
-                assert np.frombuffer(ids, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+            for text, ids in zip(part, coded_apart(encoder, part)):
+                assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_full_caches_lose_nothing(monkeypatch):
@@ -318,8 +334,8 @@ def test_full_caches_lose_nothing(monkeypatch):
     encoder, rng = tokenfile.Encoder(tokenfile.VOCABULARY), random.Random(6)
     for _ in range(40):
         listed = [prose(rng, 20) + rng.choice([".", "!?", ""]) for _ in range(5)]
-        for text, ids in zip(listed, encoder.encode([t.encode() for t in listed])):
-            assert np.frombuffer(ids, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        for text, ids in zip(listed, coded_apart(encoder, listed)):
+            assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_length_limited_codes():
@@ -368,39 +384,66 @@ def test_estimates_are_unbiased():
 # ---------------------------------------------------------------- mixing and personal data
 
 
-def test_raking_meets_its_targets(docs, empty):
-    cells = mixing.measured(docs, "doc_id").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    fitted = mixing.rake(cells, rounds=12)
-    for margin in ("topic",):
-        aim = {r[0]: r[1] for r in mixing.targets(cells, margin).collect()}
-        have = {r[0]: r[1] for r in fitted.groupBy(margin).agg(F.sum("share")).collect()}
-        assert all(abs(aim[k] - have[k]) < 1e-9 for k in aim)
+def test_mixing_of_odd_rows(docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count() and all(0 <= r["probability"] <= 1 for r in out) and {r["source"] for r in out} >= {mixing.NONE}
-    assert mixing.mix(empty).isEmpty() and mixing.sample(docs).columns == docs.columns
+    assert mixing.mix(empty).isEmpty() and mixing.sample(docs).columns == docs.columns and mixing.sample(empty).isEmpty()
+    blank = mixing.mix(docs.where("text is null or text = ''")).collect()
+    assert blank and all(r["tokens"] == 0 and r["probability"] == mixing.KEEP for r in blank)
 
 
 def test_margins_of_the_sample(spark):
     rng = random.Random(8)
-    rows = [(i, prose(rng, rng.randint(20, 60)), rng.choice(["en"] * 12 + ["de", "de", "fr"]), rng.choice(["big"] * 30 + ["mid"] * 4 + ["a", "b"])) for i in range(1500)]
+    rows = [(i, prose(rng, rng.randint(20, 60)), rng.choice(["en"] * 12 + ["de", "de", "fr"]), rng.choice(["big"] * 30 + ["mid"] * 4 + ["a", "b"])) for i in range(3000)]
     given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    measured = common.cut(mixing.measured(given, "doc_id"), "measured")
-
-    def worst(fit):
-        out = measured.join(fit(measured), list(mixing.MARGINS))
-        total, miss = out.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0], 0
-        for margin in mixing.MARGINS:
-            aim = {r[0]: r[1] for r in mixing.targets(measured, margin).collect()}
-            have = {r[0]: r[1] for r in out.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("probability"))).collect()}
-            miss = max(miss, *(abs(have[k] / total / aim[k] - 1) for k in aim))
-        return miss
-
-    assert worst(mixing.chances) > 0.1  # probabilities cut at 1 as the SQL does
-    assert worst(mixing.met) < 0.003
-    chance = {tuple(r[m] for m in mixing.MARGINS): r["probability"] for r in mixing.met(measured).collect()}
-    kept = {r["doc_id"] for r in mixing.sample(given).collect()}
-    drawn = measured.select("doc_id", *mixing.MARGINS, mixing.draw(F.col("doc_id")).alias("at")).collect()
-    assert kept == {r["doc_id"] for r in drawn if r["at"] < chance[tuple(r[m] for m in mixing.MARGINS)]}
+    out = mixing.mix(given).toPandas()
+    kept = out[out["kept"]]
+    assert out["gap"].max() <= mixing.NEAR
+    for margin in mixing.MARGINS:
+        aim = out.groupby(margin)["tokens"].sum() ** mixing.SMOOTH
+        aim /= aim.sum()
+        expected = (out["tokens"] * out["probability"]).groupby(out[margin]).sum()
+        assert ((expected / expected.sum() / aim - 1).abs() < 0.002).all()
+        drawn = kept.groupby(margin)["tokens"].sum()
+        assert ((drawn / drawn.sum()).reindex(aim.index).fillna(0) - aim).abs().max() < 0.03
+    assert {r["doc_id"] for r in mixing.sample(given).collect()} == set(kept["doc_id"])
+
+
+def test_fitting_like_a_plain_loop(spark):
+    """The fitted tokens against bisection for each group's factor, over targets that exhaust cells and targets that contradict each other."""
+    rng = random.Random(4)
+    cells = [(s, l, t, rng.choice([1, 5, 40, 300, 2000])) for s in "abc" for l in ("x", "y") for t in range(3) if rng.random() < 0.8]
+    table = spark.createDataFrame(cells, "source string, lang string, topic long, tokens long")
+    got = {(r["source"], r["lang"], r["topic"]): r for r in mixing.rake(table).collect()}
+    total = sum(c[3] for c in cells)
+    goals = []
+    for m in range(3):
+        sums = collections.Counter()
+        for c in cells:
+            sums[c[m]] += c[3]
+        whole = sum(v**mixing.SMOOTH for v in sums.values())
+        goals.append({k: v**mixing.SMOOTH / whole * total for k, v in sums.items()})
+    most = min([mixing.KEEP] + [sum(c[3] for c in cells if c[m] == k) / g for m in range(3) for k, g in goals[m].items()])
+    found = []
+    for rung in range(mixing.RUNGS):
+        share = most * mixing.STEP**rung
+        x = [c[3] * share for c in cells]
+        for step in range(3 * mixing.ROUNDS):
+            m = step % 3
+            for k, g in goals[m].items():
+                own = [i for i, c in enumerate(cells) if c[m] == k]
+                low, high = 0.0, 1e12
+                for _ in range(200):
+                    f = (low + high) / 2
+                    low, high = (low, f) if sum(min(cells[i][3], f * x[i]) for i in own) > g * share else (f, high)
+                if sum(cells[i][3] for i in own) > g * share * (1 + 1e-12):
+                    for i in own:
+                        x[i] = max(x[i] * low, 1e-200)
+        x = [min(c[3], v) for c, v in zip(cells, x)]
+        gap = max(abs(sum(v for c, v in zip(cells, x) if c[m] == k) / (g * share) - 1) for m in range(3) for k, g in goals[m].items())
+        found.append((gap, rung, share, x))
+    gap, rung, share, x = min(found, key=lambda f: (0 if f[0] <= mixing.NEAR else f[0], f[1]))
+    assert all(abs(got[c[:3]]["share"] / share - 1) < 1e-9 and abs(got[c[:3]]["x"] - v) < 0.01 * v + 1e-6 for c, v in zip(cells, x))
 
 
 def test_mixing_like_sql(spark):
