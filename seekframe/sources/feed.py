@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +18,8 @@ from .. import schema
 
 #: The fields that are asked for; nothing else is read.
 FIELDS = ("id", "internetMessageId", "conversationId", "subject", "from", "toRecipients", "ccRecipients", "receivedDateTime", "hasAttachments", "webLink", "body")
+# What a server is asked for, and the answers after which it is asked again.
+PREFER = 'outlook.body-content-type="text"'
 RETRIED = (429, 503, 504)
 RETRIES = 6
 
@@ -58,9 +64,24 @@ class FeedError(RuntimeError):
     pass
 
 
-def get_json(fetch: Callable[[str, dict], tuple[int, dict, str]], url: str, headers: dict | None = None, sleep: Callable[[float], None] = time.sleep) -> dict:
+class Cancelled(RuntimeError):
+    """Somebody asked for the work to stop."""
+
+
+def waited(seconds: float, stop: threading.Event | None = None) -> None:
+    """Wait, but not beyond a request to stop."""
+    if stop is None:
+        time.sleep(seconds)
+    elif stop.wait(seconds):
+        raise Cancelled("the feed was stopped")
+
+
+def get_json(fetch: Callable[[str, dict], tuple[int, dict, str]], url: str, headers: dict | None = None, sleep: Callable[[float], None] | None = None, stop: threading.Event | None = None) -> dict:
     """Fetch a page; throttling and outages are waited out, as long as the server says or ever longer."""
+    sleep = sleep or (lambda seconds: waited(seconds, stop))
     for attempt in range(RETRIES + 1):
+        if stop is not None and stop.is_set():
+            raise Cancelled("the feed was stopped")
         status, answered, text = fetch(url, headers or {})
         if status not in RETRIED or attempt == RETRIES:
             break
@@ -70,6 +91,42 @@ def get_json(fetch: Callable[[str, dict], tuple[int, dict, str]], url: str, head
     return json.loads(text)
 
 
+def http_fetch(url: str, headers: dict) -> tuple[int, dict, str]:
+    """Status, headers and text of a page of a server."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=120) as answer:
+            return answer.status, dict(answer.headers), answer.read().decode()
+    except urllib.error.HTTPError as e:
+        with e:
+            return e.code, dict(e.headers), e.read().decode("utf-8", "replace")
+
+
+class HttpPages:
+    """Pages of a server by their addresses, which are also the tokens to go on from."""
+
+    def __init__(self, token: Callable[[], str] | None = None, page_size: int = 100, fetch: Callable[[str, dict], tuple[int, dict, str]] = http_fetch, stop: threading.Event | None = None):
+        self._token, self._page_size, self._fetch, self._stop = token, page_size, fetch, stop
+
+    def __call__(self, url: str) -> dict:
+        headers = {"Prefer": f"{PREFER}, odata.maxpagesize={self._page_size}"}
+        if self._token is not None:
+            headers["Authorization"] = f"Bearer {self._token()}"
+        return get_json(self._fetch, url, headers, stop=self._stop)
+
+
+def start_url(base: str, folder: str) -> str:
+    """Where a folder's feed starts."""
+    return f"{base.rstrip('/')}/mailFolders/{urllib.parse.quote(folder, safe='')}/messages/delta?$select={','.join(FIELDS)}"
+
+
+def fetched(spark: SparkSession, get: Callable[[str], dict], folder: str, start: str, state: str | None = None, most: int = 0, seq: int = 0) -> Iterator[tuple[DataFrame, str | None]]:
+    """Changes of a folder, page by page, each with the token to go on from; a page is what a server gives at once."""
+    for items, following, _ in pages(get, start, state, most):
+        rows = [(seq + i, folder, json.dumps(x)) for i, x in enumerate(items)]
+        seq += len(rows)
+        yield of_items(spark.createDataFrame(rows, "seq long, folder string, item string")), following
+
+
 def pages(get: Callable[[str], dict], start: str, state: str | None = None, most: int = 0) -> Iterator[tuple[list[dict], str | None, bool]]:
     """Pages of a feed: items, the token to go on from, and whether the feed is drained for now.
 
@@ -91,14 +148,21 @@ def pages(get: Callable[[str], dict], start: str, state: str | None = None, most
 class FeedReader(SimpleDataSourceStreamReader):
     """Streams pages; the offset is the token to go on from, so a restart repeats at most one page.
 
-    Pages are files named by token in a folder that all workers see; another transport overrides ``get``.
+    With the option ``url``, pages are a server's, and tokens their addresses (options ``token`` for sign-in, ``pageSize``
+    and ``folder``); with ``path``, they are files named by token in a folder that the driver sees, where pages are read.
     """
 
     def __init__(self, options: dict):
-        self.folder, self.start = options["path"].removeprefix("file://"), options.get("start", "start")
+        self.url, self.folder = options.get("url"), options.get("folder")
+        self.path = options.get("path", "").removeprefix("file://")
+        self.start = options.get("start") or self.url or "start"
+        token = options.get("token")
+        self._pages = HttpPages((lambda: token) if token else None, int(options.get("pageSize", 100))) if self.url else None
 
     def get(self, token: str) -> dict:
-        with open(f"{self.folder}/{token}.json", encoding="utf-8") as file:
+        if self._pages is not None:
+            return self._pages(token)
+        with open(f"{self.path}/{token}.json", encoding="utf-8") as file:
             return json.load(file)
 
     def initialOffset(self) -> dict:
@@ -109,7 +173,7 @@ class FeedReader(SimpleDataSourceStreamReader):
             page = self.get(offset["token"])
         except FileNotFoundError:  # not there yet
             return [], offset
-        rows = [(offset["seq"] + i, page.get("folder"), json.dumps(x)) for i, x in enumerate(page.get("value", []))]
+        rows = [(offset["seq"] + i, self.folder or page.get("folder"), json.dumps(x)) for i, x in enumerate(page.get("value", []))]
         following = page.get("@odata.nextLink") or page.get("@odata.deltaLink")
         return rows, {"token": following or offset["token"], "seq": offset["seq"] + len(rows)} if following else offset
 
