@@ -309,7 +309,7 @@ def test_pages_of_a_server(spark, tmp_path, server):
     # the same pages as a streaming source
     spark.dataSource.register(feed.FeedSource)
     rows = spark.readStream.format("message_feed").option("url", f"{base}/two").option("folder", "inbox").load()
-    query = feed.of_items(rows).writeStream.format("memory").queryName("served").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=False, processingTime="0 seconds").start()
+    query = feed.of_items(rows).writeStream.format("memory").queryName("served").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         end = time.time() + 60
         while time.time() < end and spark.sql("select * from served").count() < 2:
