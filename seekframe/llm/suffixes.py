@@ -1,18 +1,22 @@
 """Removal of long repeated strings by a sampled suffix array over bytes.
 
-A byte goes if a string of ``WINDOW`` bytes that covers it also starts anywhere else.  Sorting every suffix of a corpus
-costs too much, so two exact sieves leave only suffixes that may repeat, and these are sorted.
+A byte goes if a string of ``WINDOW`` bytes that covers it also starts anywhere else.  Whether strings repeat is always
+decided by sorted suffixes that are compared byte for byte; hashes only discard what cannot repeat.
 
 * Each string of ``WINDOW`` bytes has an anchor: its least ``GRAM``-byte gram by a hash (the first of equals), which
-  depends on the string alone.  The strings with one anchor form a run.  Runs whose gram stands nowhere else have no
-  repeats; runs whose whole content repeats repeat throughout; one run of each other content goes on.
-* Runs are cut into stretches of ``STRETCH`` strings, with the bytes that all of them share in the gram's part.
-* What is left are single suffixes.  Sampled splitters (Spark's range partitioning) deal them out by their leading
-  bytes and then by a digest of the string; each bucket sorts its own by multikey quicksort and compares neighbours.
-  Equal suffixes may lie on both sides of a splitter, so the ends of all buckets are compared as well.
-
-All counting is by partial aggregation and all joins are on hashed content, so a passage that a third of the documents
-share is never gathered in one task.
+  depends on the string alone.  The strings with one anchor form a run.  A run whose gram's hash stands nowhere else has
+  no repeats and is discarded; what repeats must be among the others.
+* Sorting every suffix of these would move each byte hundreds of times, so suffixes are sampled in four rounds, from few and
+  long ones to many and short ones: at chains of runs (cut at anchors that their hash picks, so that copies are cut alike), at
+  runs, at stretches of ``STRETCH`` strings, and at single strings.  In each round, sampled splitters (Spark's range
+  partitioning) deal the suffixes out by their leading bytes; each bucket sorts its own by multikey quicksort on words of their
+  text and compares neighbours; equal suffixes on both sides of a splitter are found among the ends of all buckets.
+* A suffix that is equal to another over the whole of its strings repeats throughout.  Of each set of equal suffixes one goes
+  on, and is cut up for the next round; parts whose hash (a run's gram, a stretch's shared bytes, a string) is not found in two
+  suffixes that go on are discarded.
+
+All counting is by partial aggregation; equal suffixes are dealt out by their place too, so a passage that a third of the
+documents share is never gathered in one task.
 
 Defined results: null and empty texts have no bytes; identical rows are different places, so they remove each other;
 texts of under ``WINDOW`` bytes lose nothing; a null doc_id is carried; very long texts are anchored in overlapping
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,10 @@ GRAM = 32
 STRETCH = 16
 SLAB = 1 << 20
 
-_OTHER = np.random.default_rng(5).permutation(256).astype(np.uint8)
+#: Runs of a chain: about so many, by the anchors' hashes, and at most so many.
+CHAIN, LONGEST = 8, 64
+#: Bytes of suffixes that a bucket sorts, about.
+BUCKET = 12 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,7 +66,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The runs of strings with one anchor, in some whole texts: text number, start, end, anchor, hashes."""
     starts = len(data) - WINDOW + 1
     if starts <= 0:
-        return {k: np.zeros(0, np.int64) for k in ("doc", "s", "e", "a", "key", "full")}
+        return {k: np.zeros(0, np.int64) for k in ("doc", "s", "e", "a", "key")}
     prefix = prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = range_hash(prefix, at, at + GRAM)
@@ -75,11 +83,13 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     s, e, a = p[first], p[np.append(first[1:], len(p)) - 1] + 1, anchor[p[first]]
     doc = np.searchsorted(offsets, s, "right") - 1
-    full = mix(range_hash(prefix, s, e - 1 + WINDOW) + (a - s).astype(np.uint64))
-    return {"doc": doc, "s": s, "e": e, "a": a, "key": gram[a], "full": full}
+    return {"doc": doc, "s": s, "e": e, "a": a, "key": gram[a]}
 
 
-_RUN = "d long, th long, s int, e int, a int, key long, full long"
+_PART = "s int, e int, a int, key long"
+_RUN = f"d long, th long, {_PART}"
+#: A suffix: its first string, the end of its strings, what it is made of, and its bytes.
+_SUFFIX = f"d long, th long, {_PART}, bytes binary"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -99,19 +109,14 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 base = own[r["doc"]] - (a - lo)
                 row = pa.array(r["doc"] + i)
                 ints = [pa.array((r[k] - base).astype(np.int32)) for k in ("s", "e", "a")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *ints, _signed(r["key"]), _signed(r["full"])], names=["d", "th", "s", "e", "a", "key", "full"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *ints, _signed(r["key"])], names=["d", "th", "s", "e", "a", "key"])
 
 
-def sieve(table: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of runs ``table(d, th, s, e, a, key, full)``: those that repeat throughout, and one of each content to go on with."""
-    keys = table.groupBy("key").agg(F.count("*").alias("n"), (F.min("full") != F.max("full")).alias("mixed")).where("n > 1").select("key", "mixed")
+def kept(parts: DataFrame, name: str, least: int = 2) -> DataFrame:
+    """Of ``parts(key, ...)`` those whose key stands in at least ``least`` rows: no other can repeat."""
+    keys = parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
     # from files, so that the join is of two plain shuffles, which Spark can split where a key is hot
-    keys = cut(keys, f"{name}-keys")
-    again = cut(table.join(keys, "key"), name)
-    contents = again.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "s", "e", "a")).alias("r"), F.first("mixed").alias("mixed"))
-    contents = cut(contents.where("n > 1 or mixed"), f"{name}-contents")
-    whole = again.join(contents.where("n > 1").select("key", "full"), ["key", "full"]).select("d", "th", "s", "e")
-    return whole, contents.where("mixed").select("r.*")
+    return parts.join(cut(keys, f"{name}-keys"), "key")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -142,22 +147,85 @@ def _unpacked(z: pa.Scalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z.as_buffer(), max_output_size=1 << 31) if z.is_valid else b""
 
 
-def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``d, th, s, e, a, bytes``: the bytes of chosen runs."""
+class _Out:
+    """Suffixes that leave a task, some megabytes at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                text = _unpacked(batch.column(2)[row])
-                listed = batch.column(3)[row].values
-                s, e, a = (listed.field(k) for k in range(3))
-                cuts = [text[x : y - 1 + WINDOW] for x, y in zip(s.to_pylist(), e.to_pylist())]
-                n = len(cuts)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * n, pa.int64()), pa.array([batch.column(1)[row].as_py()] * n, pa.int64()), s, e, a, pa.array(cuts, pa.binary())], names=["d", "th", "s", "e", "a", "bytes"])
-
-    wanted = chosen.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "a")).alias("runs")).withColumnsRenamed({"d": "d2", "th": "th2"})
+    names = ["d", "th", "s", "e", "a", "key", "bytes", "runs"]
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+        self.size += len(row[6])
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*[r[:7] for r in self.rows]), kinds)]
+        names = self.names[:7]
+        if len(self.rows[0]) > 7:
+            part = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("a", pa.int32()), ("key", pa.int64())])
+            columns.append(pa.array([r[7] for r in self.rows], pa.list_(part)))
+            names = self.names
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _listed(column: pa.Scalar) -> list[tuple[int, int, int, int]]:
+    listed = column.values
+    return sorted(zip(*(listed.field(k).to_pylist() for k in range(4))))
+
+
+def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of runs ``d, th, s, e, a, key, bytes, runs`` of texts ``d, th, z, runs``."""
+    out = _Out()
+    for batch in batches:
+        for row in range(batch.num_rows):
+            d, th = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+            text, held = _unpacked(batch.column(2)[row]), []
+            listed = _listed(batch.column(3)[row])
+            for n, run in enumerate(listed):
+                held.append(run)
+                following = listed[n + 1] if n + 1 < len(listed) else None
+                # repeated rows have their runs twice: such are chains of their own
+                if following is None or following[0] != run[1] or run[3] % CHAIN == 0 or len(held) == LONGEST:
+                    s, e = held[0][0], held[-1][1]
+                    out.add(d, th, s, e, held[0][2], held[0][3], text[s : e - 1 + WINDOW], [dict(zip(("s", "e", "a", "key"), r)) for r in held])
+                    held = []
+            if out.size > 4 * SLAB:
+                yield out.batch()
+    if out.rows:
+        yield out.batch()
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of ``parts`` of larger ones: ``d, th, s, bytes, parts``."""
+    out = _Out()
+    for batch in batches:
+        for row in range(batch.num_rows):
+            d, th, base, text = (batch.column(k)[row].as_py() for k in range(4))
+            for s, e, a, key in _listed(batch.column(4)[row]):
+                out.add(d, th, s, e, a, key, text[s - base : e - 1 + WINDOW - base])
+            if out.size > 4 * SLAB:
+                yield out.batch()
+    if out.rows:
+        yield out.batch()
+
+
+def chains(docs: DataFrame, runs_: DataFrame) -> DataFrame:
+    """The chains of ``runs_(d, th, s, e, a, key)`` with their bytes."""
+    wanted = runs_.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "a", "key")).alias("runs")).withColumnsRenamed({"d": "d2", "th": "th2"})
     texts = _packed(docs).dropDuplicates(["d", "th"])
-    return texts.join(wanted, _same(texts, wanted)).select("d", "th", "z", "runs").mapInArrow(run, "d long, th long, s int, e int, a int, bytes binary")
+    return texts.join(wanted, _same(texts, wanted)).select("d", "th", "z", "runs").mapInArrow(_chain_batches, f"{_SUFFIX}, runs array<struct<s:int,e:int,a:int,key:long>>")
+
+
+def cut_up(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """Suffixes of ``parts(d, th, at, s, e, a, key)``, which start in the suffixes ``whole(d, th, s, bytes)`` that start at ``at``."""
+    listed = parts.groupBy("d", "th", "at").agg(F.collect_list(F.struct("s", "e", "a", "key")).alias("parts")).withColumnsRenamed({"d": "d2", "th": "th2"})
+    rows = whole.select("d", "th", "s", "bytes")
+    same = rows["d"].eqNullSafe(listed["d2"]) & (rows["th"] == listed["th2"]) & (rows["s"] == listed["at"])
+    return rows.join(listed, same).select("d", "th", "s", "bytes", "parts").mapInArrow(_cut_batches, _SUFFIX)
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +233,18 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_buffer(pa.Array.from_buffers(pa.string(), len(column), column.buffers(), column.null_count, column.offset))
 
 
+_PARTS = f"d long, th long, at int, {_PART}"
+
+
+def _part_batch(batch: pa.RecordBatch, row: np.ndarray, first: np.ndarray, end: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(row)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), batch.column(4).take(at), _signed(key)], names=["d", "th", "at", "s", "e", "a", "key"])
+
+
 def _stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of runs, each with a hash of the bytes that all strings of its place in a run share."""
     for batch in batches:
-        data, offsets = _buffers(batch.column(5))
+        data, offsets = _buffers(batch.column(6))
         if not len(data):
             continue
         prefix = prefix_hash(data)
@@ -178,57 +255,77 @@ def _stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         b = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         first = np.maximum(s[row], a[row] - b * STRETCH - STRETCH + 1)
         end = np.minimum(e[row], a[row] - b * STRETCH + 1)
-        shift = offsets[:-1][row] - s[row]
-        core = a[row] - b * STRETCH + shift
-        key = mix(range_hash(prefix, core, core + WINDOW - STRETCH + 1) + b.astype(np.uint64))
-        full = mix(range_hash(prefix, first + shift, end - 1 + WINDOW + shift) + (a[row] - first).astype(np.uint64))
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), batch.column(4).take(at), _signed(key), _signed(full)], names=["d", "th", "s", "e", "a", "key", "full"])
+        core = a[row] - b * STRETCH + offsets[:-1][row] - s[row]
+        yield _part_batch(batch, row, first, end, mix(range_hash(prefix, core, core + WINDOW - STRETCH + 1) + b.astype(np.uint64)))
 
 
-def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single suffixes of stretches: two words of leading bytes, two of digest, and the place."""
+def _string_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single strings of stretches, each with its hash."""
     for batch in batches:
-        data, offsets = _buffers(batch.column(3))
+        data, offsets = _buffers(batch.column(6))
         if not len(data):
             continue
-        first, other = prefix_hash(data), prefix_hash(_OTHER[data])
-        base = offsets[:-1] - batch.column(2).to_numpy()
-        begin, end = batch.column(2).to_pylist(), batch.column(5).to_pylist()
-        rows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for row in range(batch.num_rows):
-            listed = batch.column(4)[row].values
-            for s, e in zip(listed.field(0).to_pylist(), listed.field(1).to_pylist()):
-                if begin[row] <= s < end[row]:  # a long text can have two runs with one anchor
-                    starts.append(np.arange(s, e))
-                    rows.append(np.full(e - s, row))
-        row, p = np.concatenate(rows), np.concatenate(starts)
-        at = p + base[row]
-        lead = []
-        for k in (0, 8):
-            word = np.zeros(len(at), np.uint64)
-            for i in range(8):
-                word = (word << np.uint64(8)) | data[at + k + i].astype(np.uint64)
-            lead.append(word ^ np.uint64(1 << 63))
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([*map(_signed, lead), _signed(range_hash(first, at, at + WINDOW)), _signed(range_hash(other, at, at + WINDOW)), batch.column(0).take(take), batch.column(1).take(take), pa.array(p.astype(np.int32))], names=["k0", "k1", "k2", "k3", "d", "th", "p"])
-
-
-def multikey_quicksort(words: list[np.ndarray], small: int = 4096) -> np.ndarray:
-    """The order of rows by several words: three-way partition on one word, equals go on with the next."""
-    order = np.arange(len(words[0]))
-    stack = [(0, len(order), 0)]
+        prefix = prefix_hash(data)
+        s, e = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+        row = np.repeat(np.arange(len(s)), e - s)
+        p = s[row] + np.arange(len(row)) - np.repeat(np.cumsum(e - s) - (e - s), e - s)
+        at = p - s[row] + offsets[:-1][row]
+        yield _part_batch(batch, row, p, p + 1, range_hash(prefix, at, at + WINDOW))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray):
+    """``word(rows, k)``: the k-th eight bytes of some byte strings, as numbers that sort as the bytes do; zeros after the end.
+
+    Below zero, ``k`` asks for their sizes, which order strings that differ in zeros at the end only.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    window = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    sizes = np.diff(offsets)
+    keep = np.concatenate([np.zeros(1, np.uint64), ~np.uint64(0) << np.arange(0, 64, 8, dtype=np.uint64)[::-1]])
+
+    def word(rows: np.ndarray, k: int) -> np.ndarray:
+        if k < 0:
+            return sizes[rows].astype(np.uint64)
+        at = np.minimum(offsets[:-1][rows] + 8 * k, len(data))
+        value = np.ascontiguousarray(window[at]).view(">u8").ravel().astype(np.uint64)
+        return value & keep[np.clip(sizes[rows] - 8 * k, 0, 8)]
+
+    return word
+
+
+def multikey_quicksort(word, n: int, depths: int, small: int = 4096) -> np.ndarray:
+    """The order of ``n`` rows by their words: three-way partition on one word, equals go on with the next.
+
+    Parts of up to ``small`` rows are sorted on their word at once, and the equals of all of them go on together.
+    """
+    order = np.arange(n)
+    stack = [(0, n, 0)]
     while stack:
         lo, hi, depth = stack.pop()
-        if hi - lo < 2 or depth == len(words):
+        if hi - lo < 2 or depth == depths:
             continue
         part = order[lo:hi]
         if hi - lo <= small:
-            order[lo:hi] = part[np.lexsort([w[part] for w in reversed(words[depth:])])]
+            group = np.zeros(hi - lo, np.int64)
+            place = np.arange(hi - lo)
+            while len(place) and depth < depths:
+                rows = part[place]
+                key = word(rows, depth)
+                by = np.lexsort((key, group[place]))
+                part[place] = rows[by]
+                key, group[place] = key[by], group[place][by]
+                # a place starts a group where its word or its group differs from the one before
+                new = np.ones(len(place), bool)
+                new[1:] = (key[1:] != key[:-1]) | (group[place][1:] != group[place][:-1])
+                number = np.cumsum(new)
+                group[place] = number
+                tied = np.bincount(number)[number] > 1
+                place, depth = place[tied], depth + 1
+            order[lo:hi] = part
             continue
-        word = words[depth][part]
-        pivot = np.sort(word[[0, (hi - lo) // 2, hi - lo - 1]])[1]
-        less, more = word < pivot, word > pivot
+        key = word(part, depth)
+        pivot = np.sort(key[[0, (hi - lo) // 2, hi - lo - 1]])[1]
+        less, more = key < pivot, key > pivot
         equal = ~(less | more)
         a = lo + int(less.sum())
         b = a + int(equal.sum())
@@ -237,39 +334,99 @@ def multikey_quicksort(words: list[np.ndarray], small: int = 4096) -> np.ndarray
     return order
 
 
+def sorted_groups(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte string the number of its set of equal ones, from sorting them and comparing neighbours."""
+    sizes = np.diff(offsets)
+    depths = -(-int(sizes.max(initial=0)) // 8)
+    word = words_of(data, offsets)
+    order = multikey_quicksort(lambda rows, k: word(rows, k if k < depths else -1), len(sizes), depths + 1)
+    same = sizes[order[1:]] == sizes[order[:-1]]
+    for k in range(depths):
+        live = np.flatnonzero(same)
+        if not len(live):
+            break
+        same[live] = word(order[live + 1], k) == word(order[live], k)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.concatenate([[0], np.cumsum(~same)])
+    return group
+
+
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated suffixes of a bucket, and one suffix of its first and of its last value to compare with other buckets."""
+    """For each suffix of a bucket whether another one is equal and whether it goes on; those at its ends with their bytes."""
     held = [pa.Table.from_batches([b]) for b in batches]
     if not held or not sum(t.num_rows for t in held):
         return
     table = pa.concat_tables(held).combine_chunks()
-    words = [table.column(k).to_numpy() for k in range(4)]
-    order = multikey_quicksort(words)
-    same = np.ones(len(order) - 1, bool)
-    for w in words:
-        same &= w[order[1:]] == w[order[:-1]]
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
+    column = table.column("bytes").chunk(0) if table.column("bytes").num_chunks else table.column("bytes").combine_chunks()
+    group = sorted_groups(*_buffers(column))
+    twice = np.bincount(group)[group] > 1
+    first = np.zeros(len(group), bool)
+    first[np.unique(group, return_index=True)[1]] = True
+    # one suffix of each content that is dealt out as the bucket's first or last is: another bucket may hold the same
+    leads = [table.column(k).to_numpy() for k in ("k0", "k1", "h")]
+    order = np.lexsort(leads[::-1])
+    end = np.zeros(len(group), bool)
+    for i in order[[0, -1]].tolist():
+        end |= np.logical_and.reduce([k == k[i] for k in leads])
+    end &= first
     number = TaskContext.get().partitionId()
-    for rows, end in ((order[twice], False), (order[[0, -1]], True)):
-        for i in range(0, len(rows), 1 << 16):
-            part = table.take(pa.array(rows[i : i + (1 << 16)])).combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([number] * part.num_rows, pa.int32()), pa.array([end] * part.num_rows)], names=["k0", "k1", "k2", "k3", "d", "th", "p", "bucket", "at_end"])
-
-
-def repeated_suffixes(found: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``d, th, s, e``: repeated strings among the stretches ``chosen(d, th, s, e, a)`` of the contexts ``found``."""
-    spark = found.sparkSession
-    listed = chosen.groupBy("d", "th", "a").agg(F.collect_list(F.struct("s", "e")).alias("parts")).withColumnsRenamed({"d": "d2", "th": "th2", "a": "a2"})
-    rows = found.join(listed, _same(found, listed, "a")).select("d", "th", "s", "bytes", "parts", "e")
-    suffixes = cut(rows.mapInArrow(_suffix_batches, "k0 long, k1 long, k2 long, k3 long, d long, th long, p int"), "suffixes")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // 500_000 + 1)
-    dealt = suffixes.repartitionByRange(buckets, "k0", "k1", "k2", "k3", "d", "th", "p")
-    out = cut(dealt.mapInArrow(_bucket, "k0 long, k1 long, k2 long, k3 long, d long, th long, p int, bucket int, at_end boolean"), "repeated")
-    ends = out.where("at_end")
-    over = ends.groupBy("k0", "k1", "k2", "k3").agg(F.countDistinct("bucket").alias("n")).where("n > 1").select("k0", "k1", "k2", "k3")
-    return out.where("not at_end").select("d", "th", "p").unionAll(ends.join(over, ["k0", "k1", "k2", "k3"]).select("d", "th", "p")).select("d", "th", F.col("p").alias("s"), (F.col("p") + 1).alias("e"))
+    names = ["d", "th", "s", "e", "a", "key", "bytes"]
+    for i in range(0, len(group), 1 << 14):
+        part = table.slice(i, 1 << 14).select(names).combine_chunks().to_batches()[0]
+        own = slice(i, i + part.num_rows)
+        shown = pa.array([b if x else None for b, x in zip(part.column(6), end[own].tolist())], pa.binary()) if end[own].any() else pa.nulls(part.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(twice[own]), pa.array(first[own]), shown, pa.array([number] * part.num_rows, pa.int32())], names=[*names[:6], "twice", "first", "end", "bucket"])
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What suffixes are dealt out by: two words of leading bytes and a hash that parts those which start alike."""
+    for batch in batches:
+        data, offsets = _buffers(batch.column(6))
+        word, rows = words_of(data, offsets), np.arange(batch.num_rows)
+        lead = [_signed(word(rows, k) ^ np.uint64(1 << 63)) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *lead, _signed(range_hash(prefix_hash(data), offsets[:-1], offsets[1:]))], names=[*batch.schema.names, "k0", "k1", "h"])
+
+
+def compared(suffixes: DataFrame, name: str) -> DataFrame:
+    """``d, th, s, e, a, key, twice, first``: whether another suffix is equal, and whether this one stands for the equal ones.
+
+    ``first`` may hold for one suffix of each bucket that equal ones lie in.
+    """
+    spark = suffixes.sparkSession
+    r = suffixes.agg(F.sum(F.length("bytes"))).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (r[0] or 0) // BUCKET + 1)
+    leads = suffixes.select("d", "th", "s", "e", "a", "key", "bytes").mapInArrow(_leads, f"{_SUFFIX}, k0 long, k1 long, h long")
+    dealt = leads.repartitionByRange(buckets, "k0", "k1", "h", "d", "th", "s")
+    out = cut(dealt.mapInArrow(_bucket, f"d long, th long, {_PART}, twice boolean, first boolean, end binary, bucket int"), name)
+    over = out.where("end is not null").groupBy("end").agg(F.countDistinct("bucket").alias("n")).where("n > 1").select("end")
+    # a few rows of each bucket: its ends, and those of them that are also another bucket's
+    also = cut(out.where("end is not null").join(over, "end").select("d", "th", F.col("s"), F.col("e")).distinct(), f"{name}-ends").withColumnsRenamed({"d": "d2", "th": "th2", "s": "s2", "e": "e2"})
+    same = out["d"].eqNullSafe(also["d2"]) & (out["th"] == also["th2"]) & (out["s"] == also["s2"]) & (out["e"] == also["e2"])
+    out = out.join(also, same, "left").withColumn("twice", F.col("twice") | F.col("s2").isNotNull())
+    return cut(out.select("d", "th", "s", "e", "a", "key", "twice", "first"), f"{name}-compared")
+
+
+def repeats(docs: DataFrame) -> list[DataFrame]:
+    """``d, th, s, e`` of repeated strings, as each of the four rounds finds them."""
+    anchors = cut(_keyed(docs).select("d", "th", "text").mapInArrow(_anchor_batches, _RUN), "anchors")
+    whole = cut(chains(docs, kept(anchors, "runs")), "chains")
+    done = compared(whole, "by-chain")
+    found = [done]
+    # one chain of each content goes on, as its runs
+    on = done.where("first").select("d", "th", "s", "e").distinct().withColumnsRenamed({"d": "d2", "th": "th2", "s": "s2", "e": "e2"})
+    same = whole["d"].eqNullSafe(on["d2"]) & (whole["th"] == on["th2"]) & (whole["s"] == on["s2"]) & (whole["e"] == on["e2"])
+    parts = whole.join(on, same, "left_semi").select("d", "th", F.col("s").alias("at"), F.explode("runs").alias("r")).select("d", "th", "at", "r.s", "r.e", "r.a", "r.key").distinct()
+    for name, batches in (("run", _stretch_batches), ("stretch", _string_batches), ("string", None)):
+        whole = cut(cut_up(whole.dropDuplicates(["d", "th", "s"]), kept(parts, f"{name}s")), name)
+        done = compared(whole, f"by-{name}")
+        found.append(done)
+        if batches is None:
+            break
+        on = kept(done.where("first"), f"{name}-on").select("d", "th", "s", "e").distinct().withColumnsRenamed({"d": "d2", "th": "th2", "s": "s2", "e": "e2"})
+        same = whole["d"].eqNullSafe(on["d2"]) & (whole["th"] == on["th2"]) & (whole["s"] == on["s2"]) & (whole["e"] == on["e2"])
+        whole = cut(whole.join(on, same, "left_semi").dropDuplicates(["d", "th", "s", "e"]), f"{name}-open")
+        parts = cut(whole.mapInArrow(batches, _PARTS), f"{name}-parts")
+    return [x.where("twice").select("d", "th", "s", "e") for x in found]
 
 
 def _removed(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,13 +466,8 @@ def _clean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, counts, digest of the kept bytes, removed spans and the kept bytes themselves."""
-    anchors = cut(_keyed(docs).select("d", "th", "text").mapInArrow(_anchor_batches, _RUN), "anchors")
-    whole, chosen = sieve(anchors, "runs")
-    found = cut(contexts(docs, chosen), "contexts")
-    stretches = cut(found.mapInArrow(_stretch_batches, _RUN), "stretches")
-    more, chosen = sieve(stretches, "stretches")
-    single = repeated_suffixes(found, chosen)
-    marked = whole.unionAll(more).unionAll(single).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
+    every = reduce(DataFrame.unionAll, repeats(docs))
+    marked = every.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
     marked = cut(marked, "starts").withColumnsRenamed({"d": "d2", "th": "th2"})
     texts = _packed(docs)
     rows = texts.join(marked, _same(texts, marked), "left").select("d", "z", "starts")

@@ -190,9 +190,50 @@ def test_repeats(docs, empty, slab, monkeypatch):
 
 def test_multikey_quicksort():
     rng = np.random.default_rng(2)
-    words = [rng.integers(0, 5, 20_000) for _ in range(4)]
-    order = suffixes.multikey_quicksort(words, small=64)
-    assert [tuple(w[i] for w in words) for i in order] == sorted(zip(*words))
+    words = [rng.integers(0, 5, 20_000).astype(np.uint64) for _ in range(4)]
+    for small in (64, 4096, 1 << 20):
+        order = suffixes.multikey_quicksort(lambda rows, k: words[k][rows], 20_000, 4, small)
+        assert [tuple(w[i] for w in words) for i in order] == sorted(zip(*words))
+
+
+def test_byte_strings_are_sorted_and_compared():
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 20))) for _ in range(6000)] + [b"same" * 30] * 500 + [b"same" * 30 + b"\x00"] * 3
+    data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
+    group = suffixes.sorted_groups(data, offsets)
+    assert len(set(zip(group.tolist(), strings))) == len(set(strings)) == len(set(group.tolist()))
+    order = suffixes.multikey_quicksort(suffixes.words_of(data, offsets), len(strings), 16)
+    padded = [strings[i].ljust(128, b"\x00") for i in order]
+    assert padded == sorted(padded)
+
+
+def test_equal_suffixes_on_both_sides_of_splitters(spark, monkeypatch):
+    """Few distinct suffixes over many small buckets: all that have an equal one are told, whatever bucket that is in."""
+    monkeypatch.setattr(suffixes, "BUCKET", 900)
+    rng = random.Random(9)
+    made = [bytes(rng.choice(b"xy") for _ in range(rng.randint(16, 20))) for _ in range(40)]
+    rows = [(i, 7, i, i + 1, i, 1, bytearray(rng.choice(made) if i < 400 else b"only %d" % i)) for i in range(430)] + [(None, 7, 0, 1, 0, 1, bytearray(made[0]))]
+    out = suffixes.compared(spark.createDataFrame(rows, suffixes._SUFFIX), "few").collect()
+    count = collections.Counter(bytes(r[6]) for r in rows)
+    by = {(r[0], r[2]): bytes(r[6]) for r in rows}
+    assert len(out) == len(rows) and all(r["twice"] == (count[by[r["d"], r["s"]]] > 1) for r in out)
+    assert {by[r["d"], r["s"]] for r in out if r["first"]} == set(count)
+
+
+def test_repeats_of_periods_and_shifted_passages(spark):
+    """Passages that start and end inside of runs, periods, texts of their own repeats, and identical rows."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    passages = [plain(n) for n in (66, 70, 75, 150, 400)]
+    rows = [f"{plain(rng.randint(0, 200))} {' '.join(rng.sample(passages, rng.randint(0, 3)))} {plain(rng.randint(0, 120))}" for _ in range(60)]
+    rows += ["ab" * 700, "ab" * 260 + "c" + "ab" * 260, "a" * 1500, "xyz " * 300, passages[4] * 3, passages[3], passages[3]] + rows[:6]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = plain_repeats([t.encode() for t in rows])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(df).collect()}
+    assert got == dict(enumerate(want))
+    rounds = [x.agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0 for x in suffixes.repeats(df)]
+    assert all(rounds)  # each round finds some
 
 
 # ---------------------------------------------------------------- language, quality, rules
