@@ -32,7 +32,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +44,8 @@ SLAB = 1 << 20
 
 #: Runs of a chain: about so many, by the anchors' hashes, and at most so many.
 CHAIN, LONGEST = 8, 64
+#: Words of eight bytes that suffixes are sorted on.
+DEPTHS = 8
 #: Bytes of suffixes that a bucket sorts, about.
 BUCKET = 12 << 20
 
@@ -116,7 +117,12 @@ def kept(parts: DataFrame, name: str, least: int = 2) -> DataFrame:
     """Of ``parts(key, ...)`` those whose key stands in at least ``least`` rows: no other can repeat."""
     keys = parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
     # from files, so that the join is of two plain shuffles, which Spark can split where a key is hot
-    return parts.join(cut(keys, f"{name}-keys"), "key")
+    return parts.join(cut(keys, f"{name}-keys", parts.count() // least), "key").select(parts.columns)
+
+
+def tasks(size: int) -> int:
+    """Tasks, and so files, for suffixes of so many bytes in all."""
+    return size // BUCKET + 8
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -150,7 +156,7 @@ def _unpacked(z: pa.Scalar) -> bytes:
 class _Out:
     """Suffixes that leave a task, some megabytes at a time."""
 
-    names = ["d", "th", "s", "e", "a", "key", "bytes", "runs"]
+    names = ["d", "th", "s", "e", "a", "key", "bytes"]
 
     def __init__(self):
         self.rows: list[tuple] = []
@@ -162,14 +168,9 @@ class _Out:
 
     def batch(self) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*[r[:7] for r in self.rows]), kinds)]
-        names = self.names[:7]
-        if len(self.rows[0]) > 7:
-            part = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("a", pa.int32()), ("key", pa.int64())])
-            columns.append(pa.array([r[7] for r in self.rows], pa.list_(part)))
-            names = self.names
+        columns = [pa.array(c, k) for c, k in zip(zip(*self.rows), kinds)]
         self.rows, self.size = [], 0
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays(columns, names=self.names)
 
 
 def _listed(column: pa.Scalar) -> list[tuple[int, int, int, int]]:
@@ -178,7 +179,7 @@ def _listed(column: pa.Scalar) -> list[tuple[int, int, int, int]]:
 
 
 def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of runs ``d, th, s, e, a, key, bytes, runs`` of texts ``d, th, z, runs``."""
+    """Chains of the runs of texts ``d, th, z, runs``."""
     out = _Out()
     for batch in batches:
         for row in range(batch.num_rows):
@@ -188,10 +189,9 @@ def _chain_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for n, run in enumerate(listed):
                 held.append(run)
                 following = listed[n + 1] if n + 1 < len(listed) else None
-                # repeated rows have their runs twice: such are chains of their own
                 if following is None or following[0] != run[1] or run[3] % CHAIN == 0 or len(held) == LONGEST:
                     s, e = held[0][0], held[-1][1]
-                    out.add(d, th, s, e, held[0][2], held[0][3], text[s : e - 1 + WINDOW], [dict(zip(("s", "e", "a", "key"), r)) for r in held])
+                    out.add(d, th, s, e, held[0][2], held[0][3], text[s : e - 1 + WINDOW])
                     held = []
             if out.size > 4 * SLAB:
                 yield out.batch()
@@ -213,19 +213,21 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.batch()
 
 
-def chains(docs: DataFrame, runs_: DataFrame) -> DataFrame:
-    """The chains of ``runs_(d, th, s, e, a, key)`` with their bytes."""
-    wanted = runs_.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e", "a", "key")).alias("runs")).withColumnsRenamed({"d": "d2", "th": "th2"})
-    texts = _packed(docs).dropDuplicates(["d", "th"])
-    return texts.join(wanted, _same(texts, wanted)).select("d", "th", "z", "runs").mapInArrow(_chain_batches, f"{_SUFFIX}, runs array<struct<s:int,e:int,a:int,key:long>>")
+def chains(docs: DataFrame, runs_: DataFrame, most: int) -> DataFrame:
+    """The chains of ``runs_(d, th, s, e, a, key)``, which are no more than ``most``, with their bytes."""
+    # sets, for repeated rows have one list of runs
+    wanted = runs_.groupBy("d", "th").agg(F.collect_set(F.struct("s", "e", "a", "key")).alias("runs")).withColumnsRenamed({"d": "d2", "th": "th2"})
+    texts = _packed(docs)
+    rows = texts.join(wanted, _same(texts, wanted)).select("d", "th", "z", "runs").mapInArrow(_chain_batches, _SUFFIX)
+    return rows.coalesce(tasks(most * WINDOW))
 
 
-def cut_up(whole: DataFrame, parts: DataFrame) -> DataFrame:
-    """Suffixes of ``parts(d, th, at, s, e, a, key)``, which start in the suffixes ``whole(d, th, s, bytes)`` that start at ``at``."""
-    listed = parts.groupBy("d", "th", "at").agg(F.collect_list(F.struct("s", "e", "a", "key")).alias("parts")).withColumnsRenamed({"d": "d2", "th": "th2"})
+def cut_up(whole: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """Suffixes of ``parts(d, th, at, s, e, a, key)``, no more than ``most``, which start in the suffixes ``whole(d, th, s, bytes)`` at ``at``."""
+    listed = parts.groupBy("d", "th", "at").agg(F.collect_set(F.struct("s", "e", "a", "key")).alias("parts")).withColumnsRenamed({"d": "d2", "th": "th2"})
     rows = whole.select("d", "th", "s", "bytes")
     same = rows["d"].eqNullSafe(listed["d2"]) & (rows["th"] == listed["th2"]) & (rows["s"] == listed["at"])
-    return rows.join(listed, same).select("d", "th", "s", "bytes", "parts").mapInArrow(_cut_batches, _SUFFIX)
+    return rows.join(listed, same).select("d", "th", "s", "bytes", "parts").mapInArrow(_cut_batches, _SUFFIX).coalesce(tasks(most * WINDOW))
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +243,19 @@ def _part_batch(batch: pa.RecordBatch, row: np.ndarray, first: np.ndarray, end:
     return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), batch.column(4).take(at), _signed(key)], names=["d", "th", "at", "s", "e", "a", "key"])
 
 
+def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of chains; they are those of the texts, for a run depends on its strings alone."""
+    for batch in batches:
+        data, offsets = _buffers(batch.column(6))
+        for i, j in slabs(offsets, SLAB):
+            own = offsets[i : j + 1] - offsets[i]
+            r = runs(data[offsets[i] : offsets[j]], own)
+            row = r["doc"] + i
+            shift = batch.column(2).to_numpy().astype(np.int64)[row] - own[r["doc"]]
+            part = _part_batch(batch, row, r["s"] + shift, r["e"] + shift, r["key"])
+            yield part.set_column(5, "a", pa.array((r["a"] + shift).astype(np.int32)))
+
+
 def _stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of runs, each with a hash of the bytes that all strings of its place in a run share."""
     for batch in batches:
@@ -274,18 +289,13 @@ def _string_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray):
-    """``word(rows, k)``: the k-th eight bytes of some byte strings, as numbers that sort as the bytes do; zeros after the end.
-
-    Below zero, ``k`` asks for their sizes, which order strings that differ in zeros at the end only.
-    """
+    """``word(rows, k)``: the k-th eight bytes of some byte strings, as numbers that sort as the bytes do; zeros after the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     window = np.lib.stride_tricks.sliding_window_view(padded, 8)
     sizes = np.diff(offsets)
     keep = np.concatenate([np.zeros(1, np.uint64), ~np.uint64(0) << np.arange(0, 64, 8, dtype=np.uint64)[::-1]])
 
     def word(rows: np.ndarray, k: int) -> np.ndarray:
-        if k < 0:
-            return sizes[rows].astype(np.uint64)
         at = np.minimum(offsets[:-1][rows] + 8 * k, len(data))
         value = np.ascontiguousarray(window[at]).view(">u8").ravel().astype(np.uint64)
         return value & keep[np.clip(sizes[rows] - 8 * k, 0, 8)]
@@ -334,48 +344,60 @@ def multikey_quicksort(word, n: int, depths: int, small: int = 4096) -> np.ndarr
     return order
 
 
-def sorted_groups(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte string the number of its set of equal ones, from sorting them and comparing neighbours."""
-    sizes = np.diff(offsets)
-    depths = -(-int(sizes.max(initial=0)) // 8)
+def sorted_groups(data: np.ndarray, offsets: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """For each byte string the number of its set of equal ones, from sorting them and comparing neighbours byte for byte.
+
+    They are sorted on ``DEPTHS`` words of their text and then on ``digest``, a hash of the whole, which only brings equal ones
+    together.  Where neighbours differ in spite of one digest, the strings of that digest are told apart by their text.
+    """
+    n = len(digest)
     word = words_of(data, offsets)
-    order = multikey_quicksort(lambda rows, k: word(rows, k if k < depths else -1), len(sizes), depths + 1)
-    same = sizes[order[1:]] == sizes[order[:-1]]
-    for k in range(depths):
-        live = np.flatnonzero(same)
-        if not len(live):
-            break
-        same[live] = word(order[live + 1], k) == word(order[live], k)
-    group = np.empty(len(order), np.int64)
+    order = multikey_quicksort(lambda rows, k: word(rows, k) if k < DEPTHS else digest[rows], n, DEPTHS + 1)
+    whole = memoryview(np.ascontiguousarray(data))
+    low, high = offsets[:-1][order].tolist(), offsets[1:][order].tolist()
+    same = np.fromiter((whole[a:b] == whole[c:d] for a, b, c, d in zip(low[1:], high[1:], low, high)), bool, max(n - 1, 0)) if n > 1 else np.zeros(0, bool)
+    group = np.empty(n, np.int64)
     group[order] = np.concatenate([[0], np.cumsum(~same)])
+    clash = np.flatnonzero(~same & (digest[order[1:]] == digest[order[:-1]]))
+    if len(clash):
+        rows = np.flatnonzero(np.isin(digest, digest[order[clash]]))
+        known: dict[bytes, int] = {}
+        for i in rows.tolist():
+            group[i] = known.setdefault(bytes(whole[offsets[i] : offsets[i + 1]]), n + len(known))
+        group = np.unique(group, return_inverse=True)[1]
     return group
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each suffix of a bucket whether another one is equal and whether it goes on; those at its ends with their bytes."""
+    """For each suffix of a bucket whether another one is equal, and the bytes of those that stand for the equal ones."""
     held = [pa.Table.from_batches([b]) for b in batches]
     if not held or not sum(t.num_rows for t in held):
         return
     table = pa.concat_tables(held).combine_chunks()
-    column = table.column("bytes").chunk(0) if table.column("bytes").num_chunks else table.column("bytes").combine_chunks()
-    group = sorted_groups(*_buffers(column))
+    del held
+    column = table.column("bytes").chunk(0)
+    leads = [table.column(k).to_numpy() for k in ("k0", "k1", "h")]
+    group = sorted_groups(*_buffers(column), leads[2].view(np.uint64))
     twice = np.bincount(group)[group] > 1
     first = np.zeros(len(group), bool)
     first[np.unique(group, return_index=True)[1]] = True
-    # one suffix of each content that is dealt out as the bucket's first or last is: another bucket may hold the same
-    leads = [table.column(k).to_numpy() for k in ("k0", "k1", "h")]
+    # contents that are dealt out as the bucket's first or last are: another bucket may hold the same
     order = np.lexsort(leads[::-1])
     end = np.zeros(len(group), bool)
     for i in order[[0, -1]].tolist():
         end |= np.logical_and.reduce([k == k[i] for k in leads])
     end &= first
-    number = TaskContext.get().partitionId()
-    names = ["d", "th", "s", "e", "a", "key", "bytes"]
-    for i in range(0, len(group), 1 << 14):
-        part = table.slice(i, 1 << 14).select(names).combine_chunks().to_batches()[0]
-        own = slice(i, i + part.num_rows)
-        shown = pa.array([b if x else None for b, x in zip(part.column(6), end[own].tolist())], pa.binary()) if end[own].any() else pa.nulls(part.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(twice[own]), pa.array(first[own]), shown, pa.array([number] * part.num_rows, pa.int32())], names=[*names[:6], "twice", "first", "end", "bucket"])
+    # a bucket's own number: a task may have several buckets
+    number = hash(tuple(table.column(k)[0].as_py() or 0 for k in ("d", "th", "s", "e"))) & 0x7FFFFFFFFFFFFFFF
+    names = ["d", "th", "s", "e", "a", "key"]
+    rest = np.flatnonzero(~first)
+    for rows, goes_on in ((np.flatnonzero(first), True), (rest, False)):
+        step = 1 << (11 if goes_on else 14)
+        for i in range(0, len(rows), step):
+            own = rows[i : i + step]
+            part = table.select(names).take(pa.array(own)).combine_chunks().to_batches()[0]
+            shown = column.take(pa.array(own)) if goes_on else pa.nulls(len(own), pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(twice[own]), shown, pa.array(end[own]), pa.array([number] * len(own), pa.int64())], names=[*names, "twice", "bytes", "end", "bucket"])
 
 
 def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,46 +409,40 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *lead, _signed(range_hash(prefix_hash(data), offsets[:-1], offsets[1:]))], names=[*batch.schema.names, "k0", "k1", "h"])
 
 
-def compared(suffixes: DataFrame, name: str) -> DataFrame:
-    """``d, th, s, e, a, key, twice, first``: whether another suffix is equal, and whether this one stands for the equal ones.
+def compared(suffixes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``d, th, s, e`` of suffixes that another one is equal to, and the suffixes that go on, with their bytes.
 
-    ``first`` may hold for one suffix of each bucket that equal ones lie in.
+    Of equal suffixes one of each bucket that they lie in goes on.
     """
     spark = suffixes.sparkSession
     r = suffixes.agg(F.sum(F.length("bytes"))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (r[0] or 0) // BUCKET + 1)
-    leads = suffixes.select("d", "th", "s", "e", "a", "key", "bytes").mapInArrow(_leads, f"{_SUFFIX}, k0 long, k1 long, h long")
+    size = r[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
+    leads = suffixes.mapInArrow(_leads, f"{_SUFFIX}, k0 long, k1 long, h long")
     dealt = leads.repartitionByRange(buckets, "k0", "k1", "h", "d", "th", "s")
-    out = cut(dealt.mapInArrow(_bucket, f"d long, th long, {_PART}, twice boolean, first boolean, end binary, bucket int"), name)
-    over = out.where("end is not null").groupBy("end").agg(F.countDistinct("bucket").alias("n")).where("n > 1").select("end")
+    out = cut(dealt.mapInArrow(_bucket, f"d long, th long, {_PART}, twice boolean, bytes binary, end boolean, bucket long").coalesce(tasks(size)), name)
+    ends = out.where("end")
+    over = ends.groupBy("bytes").agg(F.countDistinct("bucket").alias("n")).where("n > 1").select("bytes")
     # a few rows of each bucket: its ends, and those of them that are also another bucket's
-    also = cut(out.where("end is not null").join(over, "end").select("d", "th", F.col("s"), F.col("e")).distinct(), f"{name}-ends").withColumnsRenamed({"d": "d2", "th": "th2", "s": "s2", "e": "e2"})
-    same = out["d"].eqNullSafe(also["d2"]) & (out["th"] == also["th2"]) & (out["s"] == also["s2"]) & (out["e"] == also["e2"])
-    out = out.join(also, same, "left").withColumn("twice", F.col("twice") | F.col("s2").isNotNull())
-    return cut(out.select("d", "th", "s", "e", "a", "key", "twice", "first"), f"{name}-compared")
+    also = ends.where("not twice").join(over, "bytes", "left_semi")
+    twice = out.where("twice").select("d", "th", "s", "e").unionAll(also.select("d", "th", "s", "e"))
+    return twice, out.where("bytes is not null").select("d", "th", "s", "e", "a", "key", "bytes")
 
 
 def repeats(docs: DataFrame) -> list[DataFrame]:
     """``d, th, s, e`` of repeated strings, as each of the four rounds finds them."""
     anchors = cut(_keyed(docs).select("d", "th", "text").mapInArrow(_anchor_batches, _RUN), "anchors")
-    whole = cut(chains(docs, kept(anchors, "runs")), "chains")
-    done = compared(whole, "by-chain")
-    found = [done]
-    # one chain of each content goes on, as its runs
-    on = done.where("first").select("d", "th", "s", "e").distinct().withColumnsRenamed({"d": "d2", "th": "th2", "s": "s2", "e": "e2"})
-    same = whole["d"].eqNullSafe(on["d2"]) & (whole["th"] == on["th2"]) & (whole["s"] == on["s2"]) & (whole["e"] == on["e2"])
-    parts = whole.join(on, same, "left_semi").select("d", "th", F.col("s").alias("at"), F.explode("runs").alias("r")).select("d", "th", "at", "r.s", "r.e", "r.a", "r.key").distinct()
-    for name, batches in (("run", _stretch_batches), ("stretch", _string_batches), ("string", None)):
-        whole = cut(cut_up(whole.dropDuplicates(["d", "th", "s"]), kept(parts, f"{name}s")), name)
-        done = compared(whole, f"by-{name}")
-        found.append(done)
+    whole = cut(chains(docs, kept(anchors, "runs"), anchors.count()), "chains")
+    found = []
+    for name, batches in (("chain", _run_batches), ("run", _stretch_batches), ("stretch", _string_batches), ("string", None)):
+        twice, on = compared(whole, f"by-{name}")
+        found.append(twice)
         if batches is None:
-            break
-        on = kept(done.where("first"), f"{name}-on").select("d", "th", "s", "e").distinct().withColumnsRenamed({"d": "d2", "th": "th2", "s": "s2", "e": "e2"})
-        same = whole["d"].eqNullSafe(on["d2"]) & (whole["th"] == on["th2"]) & (whole["s"] == on["s2"]) & (whole["e"] == on["e2"])
-        whole = cut(whole.join(on, same, "left_semi").dropDuplicates(["d", "th", "s", "e"]), f"{name}-open")
-        parts = cut(whole.mapInArrow(batches, _PARTS), f"{name}-parts")
-    return [x.where("twice").select("d", "th", "s", "e") for x in found]
+            return found
+        # a run or a stretch whose key no other one has that goes on has nothing left to be equal to
+        on = on if name == "chain" else cut(kept(on, f"{name}-on"), f"{name}-open")
+        parts = cut(on.mapInArrow(batches, _PARTS), f"{name}-parts")
+        whole = cut(cut_up(on, kept(parts, f"{name}-parts"), parts.count()), f"of-{name}")
 
 
 def _removed(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -468,7 +484,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, counts, digest of the kept bytes, removed spans and the kept bytes themselves."""
     every = reduce(DataFrame.unionAll, repeats(docs))
     marked = every.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
-    marked = cut(marked, "starts").withColumnsRenamed({"d": "d2", "th": "th2"})
+    marked = cut(marked, "starts", docs.count()).withColumnsRenamed({"d": "d2", "th": "th2"})
     texts = _packed(docs)
     rows = texts.join(marked, _same(texts, marked), "left").select("d", "z", "starts")
     return rows.mapInArrow(_clean_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>, kept binary")

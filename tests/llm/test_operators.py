@@ -200,8 +200,10 @@ def test_byte_strings_are_sorted_and_compared():
     rng = random.Random(3)
     strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 20))) for _ in range(6000)] + [b"same" * 30] * 500 + [b"same" * 30 + b"\x00"] * 3
     data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
-    group = suffixes.sorted_groups(data, offsets)
-    assert len(set(zip(group.tolist(), strings))) == len(set(strings)) == len(set(group.tolist()))
+    # by a digest of the whole, and by one that clashes
+    for digest in (np.array([xxhash.xxh64_intdigest(x) for x in strings], np.uint64), np.array([len(x) % 3 for x in strings], np.uint64)):
+        group = suffixes.sorted_groups(data, offsets, digest)
+        assert len(set(zip(group.tolist(), strings))) == len(set(strings)) == len(set(group.tolist()))
     order = suffixes.multikey_quicksort(suffixes.words_of(data, offsets), len(strings), 16)
     padded = [strings[i].ljust(128, b"\x00") for i in order]
     assert padded == sorted(padded)
@@ -213,11 +215,11 @@ def test_equal_suffixes_on_both_sides_of_splitters(spark, monkeypatch):
     rng = random.Random(9)
     made = [bytes(rng.choice(b"xy") for _ in range(rng.randint(16, 20))) for _ in range(40)]
     rows = [(i, 7, i, i + 1, i, 1, bytearray(rng.choice(made) if i < 400 else b"only %d" % i)) for i in range(430)] + [(None, 7, 0, 1, 0, 1, bytearray(made[0]))]
-    out = suffixes.compared(spark.createDataFrame(rows, suffixes._SUFFIX), "few").collect()
+    twice, on = suffixes.compared(spark.createDataFrame(rows, suffixes._SUFFIX), "few")
     count = collections.Counter(bytes(r[6]) for r in rows)
-    by = {(r[0], r[2]): bytes(r[6]) for r in rows}
-    assert len(out) == len(rows) and all(r["twice"] == (count[by[r["d"], r["s"]]] > 1) for r in out)
-    assert {by[r["d"], r["s"]] for r in out if r["first"]} == set(count)
+    assert sorted((str(r["d"]), r["s"]) for r in twice.collect()) == sorted((str(r[0]), r[2]) for r in rows if count[bytes(r[6])] > 1)
+    on = on.collect()
+    assert {bytes(r["bytes"]) for r in on} == set(count) and len(on) < len(rows)
 
 
 def test_repeats_of_periods_and_shifted_passages(spark):
