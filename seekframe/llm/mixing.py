@@ -121,11 +121,12 @@ def chances(rows: DataFrame, keep: float = KEEP, aims: dict[str, DataFrame] | No
     dealt = cut(rows.groupBy(*MARGINS, "place").agg(F.sum("tokens").alias("tokens")), "dealt")
     cells = cut(dealt.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     fitted = cut(rake(cells, aims, keep), "raked")
+    # two numbers for the whole table; without any token, the share asked for
+    fate = fitted.agg(F.max("share"), F.max("gap")).first()
+    share, gap = (fate[0], fate[1]) if fate[0] is not None else (float(keep), 0.0)
     # tables of one row for each cell: sources x languages x topics, not documents
-    fate = fitted.groupBy(F.lit(1).alias("one")).agg(F.max("share").alias("share"), F.max("gap").alias("gap"))
-    out = cells.withColumn("one", F.lit(1)).join(fate, "one", "left").drop("one").join(fitted.select(*MARGINS, "x"), list(MARGINS), "left")
-    share = F.coalesce("share", F.lit(float(keep)))
-    out = out.select(*MARGINS, F.coalesce(F.col("x") / F.col("tokens"), share).alias("probability"), share.alias("share"), "x", F.coalesce("gap", F.lit(0.0)).alias("gap"))
+    out = cells.join(fitted.select(*MARGINS, "x"), list(MARGINS), "left")
+    out = out.select(*MARGINS, F.coalesce(F.col("x") / F.col("tokens"), F.lit(share)).alias("probability"), F.lit(share).alias("share"), "x", F.lit(gap).alias("gap"))
     # the number of places whose tokens are nearest to the fitted ones; none is one of the choices
     upto = Window.partitionBy(*MARGINS).orderBy("place")
     choices = dealt.withColumn("held", F.sum("tokens").over(upto)).join(fitted.select(*MARGINS, "x"), list(MARGINS))
