@@ -1,12 +1,13 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
-Every slot of the filter holds one bit per language.  An n-gram hashes to ``HASHES`` slots; the AND of their masks is
+Every slot of the filter holds one bit per language, in planes of 64.  An n-gram hashes to ``HASHES`` slots; the AND of their masks is
 the set of languages that contain it, so a single lookup answers for all languages.  A language's score in a text is
 the popcount of its bit over the text's n-grams, corrected for its false positive rate: ``(hits - n * f) / (1 - f)``.
 The largest decides (ties: the first name); the score is that value's share of the text's n-grams.
 
-Learning reads at most about ``SAMPLE`` texts of each of at most ``LANGUAGES`` languages, chosen by a hash of doc_id,
-and keeps n-grams of at least ``SHARE`` of the language's occurrences, so the filter's size is fixed.
+Learning reads at most about ``SAMPLE`` texts of each language, chosen by a hash of doc_id, and keeps n-grams of at least
+``SHARE`` of the language's occurrences, so a plane's size is fixed.  Every language that occurs has its bit; more than
+``LANGUAGES`` are an error, for then the column holds no languages.
 
 Defined results: null text or text without a letter is ``und`` with score 0, as is any text if nothing was learned;
 a text without a full n-gram scores 0 and takes the first language name; null doc_id counts as not held out and is
@@ -27,7 +28,7 @@ from .common import mix, slabs, text_buffer
 
 N = 4
 SAMPLE = 3000
-LANGUAGES = 64
+LANGUAGES = 1024
 SHARE = 1e-5
 SLOTS_LOG2 = 20
 HASHES = 3
@@ -110,25 +111,24 @@ def held_out(divisor: int, rest: int):
 def learn(docs: DataFrame) -> Model:
     """Learn from rows with a non-null doc_id, text and lang whose doc_id isn't held out."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(F.col("doc_id").isNotNull() & ~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
     names = sorted(r["lang"] for r in sizes)
+    planes = -(-len(names) // 64)
     if not names:
-        return Model([], np.zeros(1 << SLOTS_LOG2, np.uint64), np.zeros(0))
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE / r["count"])).otherwise(rate)
+        return Model([], np.zeros((0, 1 << SLOTS_LOG2), np.uint64), np.zeros(0))
+    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])[F.col("lang")]
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000).select("lang", "text")
     counts = chosen.mapInArrow(_count(names), "lang_no int, gram long, n long").groupBy("lang_no", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     total = {r["lang_no"]: r["n"] for r in counts.groupBy("lang_no").agg(F.sum("n").alias("n")).collect()}
-    floor = F.lit(0.0)
-    for lang_no, n in total.items():
-        floor = F.when(F.col("lang_no") == lang_no, n * SHARE).otherwise(floor)
+    floor = F.create_map(*[F.lit(x) for lang_no, n in (total or {0: 0}).items() for x in (lang_no, n * SHARE)])[F.col("lang_no")]
     kept = counts.where(F.col("n") >= floor).select("lang_no", "gram").toPandas()
-    masks = np.zeros(1 << SLOTS_LOG2, np.uint64)
+    masks = np.zeros((planes, 1 << SLOTS_LOG2), np.uint64)
     for lang_no, own in kept.groupby("lang_no"):
         for slot in _slots(own["gram"].to_numpy().astype(np.uint32)):
-            np.bitwise_or.at(masks, slot, np.uint64(1) << np.uint64(lang_no))
-    fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(names))])
+            np.bitwise_or.at(masks[lang_no // 64], slot, np.uint64(1) << np.uint64(lang_no % 64))
+    fill = np.array([((masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(names))])
     return Model(names, masks, fill**HASHES)
 
 
@@ -154,12 +154,14 @@ def _predict(shared):
                 place = np.concatenate([[0], np.cumsum(ok)])
                 at = place[np.minimum(offsets, len(ok))]
                 n[i:j] += np.diff(at)
-                found = None
-                for slot in _slots(code):
-                    found = model.masks[slot] if found is None else found & model.masks[slot]
-                for lang_no in range(len(model.languages)):
-                    sums = np.concatenate([[0], np.cumsum((found >> np.uint64(lang_no)) & np.uint64(1))]).astype(np.int64)
-                    hits[lang_no, i:j] += np.diff(sums[at])
+                slots_ = list(_slots(code))
+                for plane, masks in enumerate(model.masks):
+                    found = masks[slots_[0]]
+                    for slot in slots_[1:]:
+                        found = found & masks[slot]
+                    for lang_no in range(64 * plane, min(64 * plane + 64, len(model.languages))):
+                        sums = np.concatenate([[0], np.cumsum((found >> np.uint64(lang_no % 64)) & np.uint64(1))]).astype(np.int64)
+                        hits[lang_no, i:j] += np.diff(sums[at])
                 letter[i:j] |= [_has_letter(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
             if model.languages:
                 f = model.false_positive[:, None]

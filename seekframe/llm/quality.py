@@ -2,7 +2,8 @@
 
 Features are words, pairs of adjacent words (one feature for all pairs of equal words) and shapes of word endings, hashed to ``2 ** BITS`` weights; a text's value of each is its count over
 the square root of the number of features.  Scoring is one sparse dot product.  Training makes ``EPOCHS`` passes of
-FTRL-proximal over at most about ``SAMPLE`` labelled rows (chosen by a hash of doc_id) in one task of bounded input.
+FTRL-proximal over at most about ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of their text (whole rows, chosen by a hash of
+doc_id) in one task of bounded input.
 
 Defined results: empty and null texts score by the intercept alone; without labels every score is 0.5; null doc_id
 counts as not held out and is never learned from; repeated rows give repeated rows; other columns are not read.
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, range_hash, slabs, text_buffer, word_spans
+from .common import cut, mix, prefix_hash, range_hash, slabs, text_buffer, word_spans
 from .langid import held_out
 
 BITS = 18
 SAMPLE = 12_000
+SAMPLE_BYTES = 128 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 
@@ -98,7 +100,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     rate = SAMPLE / max(known.count(), SAMPLE)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id"))
-    rows = rows.select("text", "label", F.xxhash64("doc_id").alias("o"), "doc_id").repartition(1).sortWithinPartitions("o", "doc_id", "label", "text").select("text", "label")
+    rows = cut(rows.select("text", "label", F.xxhash64("doc_id").alias("o"), "doc_id"), "sample")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        rows = rows.where(F.pmod(F.xxhash64("o"), F.lit(1_000_000)) < 1_000_000 * SAMPLE_BYTES / size)
+    rows = rows.repartition(1).sortWithinPartitions("o", "doc_id", "label", "text").select("text", "label")
     found = rows.mapInArrow(_train, "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 

@@ -253,6 +253,65 @@ def test_language(spark, docs, empty):
     assert langid.accepted(docs, langid.learn(docs)).columns == docs.columns
 
 
+def plain_languages(rows):
+    """Languages and scores of ``(doc_id, text, lang)`` by one plain filter of slots for each language."""
+
+    def grams(text):
+        folded = bytes(b + 32 if 65 <= b < 91 else b if b >= 128 or chr(b).isalpha() else 32 for b in text.encode())
+        every = [folded[i : i + 4] for i in range(len(folded) - 3)]
+        return [g for g in every if b"  " not in g]
+
+    def slots(gram):
+        return [int(s[0]) for s in langid._slots(np.array([int.from_bytes(gram, "big")], np.uint32))]
+
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    counts = collections.defaultdict(collections.Counter)
+    for d, text, lang in rows:
+        if d is not None and not held(d) and lang is not None and text is not None:
+            counts[lang].update(grams(text))
+    filters, rates = {}, {}
+    for lang in sorted(counts):
+        twice = {g: n for g, n in counts[lang].items() if n > 1}
+        total = sum(twice.values())
+        filters[lang] = {s for g, n in twice.items() if n >= total * langid.SHARE for s in slots(g)}
+        rates[lang] = (len(filters[lang]) / (1 << langid.SLOTS_LOG2)) ** 3
+    out = []
+    for d, text, _ in rows:
+        if not counts or text is None or not any(c.isalpha() for c in text):
+            out.append((d, "und", 0.0))
+            continue
+        own = collections.Counter(grams(text))
+        n, of = sum(own.values()), {g: slots(g) for g in own}
+        fixed = {x: max(0.0, (sum(k for g, k in own.items() if all(s in f for s in of[g])) - n * rates[x]) / (1 - rates[x])) for x, f in filters.items()}
+        best = max(fixed, key=lambda x: fixed[x])
+        out.append((d, best, min(1.0, fixed[best] / max(n, 1))))
+    return out
+
+
+@pytest.mark.parametrize("languages", [3, 70])
+def test_languages_like_plain_filters(spark, languages):
+    rng = random.Random(languages)
+    # languages of a few letters each, so that they share n-grams
+    letters = {f"l{i:02}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüéè", 5)) for i in range(languages)}
+    rows = []
+    for lang, own in letters.items():
+        words = ["".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(12)]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(rng.randint(5, 40))), lang))
+    rows += [(9000, None, "l00"), (9001, "12 !? ", "l00"), (9002, "", "l00"), (9003, "ab", "l01"), (None, rows[0][1], "l00"), (9004, rows[3][1].upper() + " 1999, X", None), (9004, rows[4][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert len(model.languages) == languages and len(model.masks) == -(-languages // 64)
+    got = sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in langid.predict(df, model).collect())
+    assert got == sorted((str(d), x, round(s, 9)) for d, x, s in plain_languages(rows))
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.learn(spark.createDataFrame([(i, "some text", f"x{i}") for i in range(20)], "doc_id long, text string, lang string"))
+
+
 def test_bit_slices_hold_every_gram():
     code = np.arange(1000, dtype=np.uint32)
     masks = np.zeros(1 << langid.SLOTS_LOG2, np.uint64)
@@ -272,6 +331,74 @@ def test_quality(spark, docs, empty):
     assert len(none) == docs.count() and all(r["score"] == 0.5 for r in none) and quality.score(empty, quality.learn(docs, labels)).isEmpty()
 
 
+def plain_quality(rows, labels):
+    """Scores of ``(doc_id, text)`` by weights in a dictionary, learned one feature at a time."""
+    wide = (1 << 64) - 1
+    base = 0x9E3779B97F4A7C15 | 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & wide
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & wide
+        return x ^ x >> 31
+
+    def hashed(data):
+        return mixed(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(data)) & wide)
+
+    def shape(b):
+        return 65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 48 if 48 <= b < 58 else b
+
+    def features(text):
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        keys = [hashed(w) for w in words] + [mixed(hashed([shape(b) for b in w[-3:]]) ^ 0xA5A5) for w in words]
+        keys += [0x2B5F3A9C71D4E680 if a == b else mixed((hashed(a) * 3 + hashed(b)) & wide) for a, b in zip(words, words[1:])]
+        n = collections.Counter(k >> 64 - quality.BITS for k in keys)
+        return {k: c / max(1, sum(n.values())) ** 0.5 for k, c in n.items()} | {1 << quality.BITS: 1.0}
+
+    known = {d: y for d, y in labels if d is not None and zlib.crc32(str(d).encode()) % 3 != 1}
+    order = [(d, t) for d, t in rows if d in known]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - (quality.L1 if z[k] > 0 else -quality.L1)) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    def chance(x):
+        return 1 / (1 + np.exp(-sum(weight(k) * v for k, v in x.items())))
+
+    held = [(features(t), known[d]) for d, t in order]
+    for _ in range(quality.EPOCHS):
+        for x, y in held:
+            p, w = chance(x), {k: weight(k) for k in x}
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / quality.ALPHA * w[k]
+                n[k] += g * g
+    return {d: chance(features(t)) for d, t in rows}
+
+
+def test_quality_like_plain_learning(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(3, 60)) if i % 2 else " ".join(rng.choice(["X9", "zz", "zz", "##", "The"]) for _ in range(rng.randint(3, 60)))) for i in range(120)] + [(500, ""), (501, None)]
+    labels = [(i, i % 2) for i in range(0, 120, 1)]
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    # learning goes through the rows in the order of a hash of their ids
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    by = dict(rows)
+    want = plain_quality([(d, by[d]) for d in order], labels)
+    got = {r["doc_id"]: r for r in quality.score(df, quality.learn(df, marks)).collect()}
+    assert all(abs(got[d]["score"] - want[d]) < 1e-4 for d in want) and all(got[d]["predicted"] == (got[d]["score"] >= 0.5) for d in want)
+    assert sum(got[d]["predicted"] == y for d, y in labels) > 110
+
+
+def test_quality_learns_from_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 20_000)
+    df = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad 99 junk ") * 40) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    out = quality.score(df, quality.learn(df, labels))
+    assert out.where("predicted = doc_id % 2").count() == 300
+
+
 def plain_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -292,6 +419,46 @@ def test_rules(docs, empty):
     assert fertility.judge(empty).isEmpty() and fertility.judge(docs).where("base_failed and kept").isEmpty()
 
 
+def plain_verdict(text):
+    """What one vocabulary says of a text, character by character and token by token."""
+    encoding = fertility.Vocabulary.of("byte_bpe_multi_50k.tiktoken").encoding
+    ids = encoding.encode_ordinary(text)
+    lone = [len(b) == 1 and b[0] >= 0x80 for b in map(encoding.decode_single_token_bytes, ids)]
+    count = collections.Counter(ids)
+    entropy = -sum(c / len(ids) * np.log2(c / len(ids)) for c in count.values()) if ids else 0.0
+    ranges = [[(65, 90), (97, 122), (0xC3, 0xC9)], [(0xCD, 0xCF)], [(0xD0, 0xD3)], [(0xD6, 0xDB)], [(0xE0, 0xE0)], [(0xE3, 0xED)], [(0xE1, 0xE2), (0xEE, 0xFF)]]
+    leads = [c.encode()[0] for c in text]
+    sizes = [sum(a <= b <= z for b in leads for a, z in own) for own in ranges]
+    low, high, most, least = fertility.BANDS[fertility.SCRIPTS[sizes.index(max(sizes))]]
+    per_token, fallback, share = len(text) / max(len(ids), 1), sum(lone) / max(len(ids), 1), entropy / np.log2(min(max(len(ids), 2), 4096))
+    return bool(low <= per_token <= high and fallback <= most and share >= least), per_token, fallback, entropy
+
+
+def test_verdict_of_a_vocabulary(spark, docs):
+    rng = random.Random(5)
+    more = [prose(rng, 60), "αβγ δεζ ηθι " * 20, "где это что " * 30, "שלום עולם " * 20, "नमस्ते दुनिया " * 20, "你好世界 再见 " * 30, " ".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(80)), " ".join("%x" % rng.getrandbits(64) for _ in range(60)), " ".join("zq" * rng.randint(1, 9) for _ in range(90)), "😀 " * 60, " ".join(rng.choice(WORDS[:3]) for _ in range(400)), " ".join(str(i) for i in range(400))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(more, 1000)), "doc_id long, text string"))
+    given = {(r["doc_id"], r["text"]) for r in df.collect()}
+    want = sorted(str((d, plain_verdict(t or "")[0] and not plain_counts(t)[-1])) for d, t in given)
+    rows = fertility.judge(df.distinct()).collect()
+    assert want == sorted(str((r["doc_id"], r["kept"])) for r in rows) and 0 < sum(r["kept"] for r in rows) < len(rows)
+    by = {r["doc_id"]: r for r in rows}
+    for d, t in enumerate(more, 1000):
+        assert np.allclose([by[d]["chars_per_token"], by[d]["fallback_share"], by[d]["entropy"]], plain_verdict(t)[1:])
+
+
+def test_very_long_texts(spark):
+    """A megabyte and more in one text, with and without blanks."""
+    rng = random.Random(2)
+    long = [prose(rng, 250_000), "x" * 1_500_000, " ".join(f"u{i}@h{i % 9}.example" for i in range(60_000))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(long)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in fertility.judge(df).collect()}
+    assert [got[i]["n_words"] for i in range(3)] == [250_000, 1, 60_000] and [got[i]["word_chars"] for i in range(3)] == [sum(map(len, t.split())) for t in long]
+    assert [r["n_email"] for r in personal.personal_data(df).orderBy("doc_id").collect()] == [0, 0, 60_000]
+    assert langid.predict(df, langid.learn(df)).count() == 3 and simhash.near_duplicates(df).count() == 3
+    assert {r["doc_id"]: r["n_bytes"] for r in suffixes.remove_repeats(df).collect()} == {i: len(t) for i, t in enumerate(long)}
+
+
 # ---------------------------------------------------------------- tokenisers
 
 
@@ -548,3 +715,48 @@ def test_pipeline(spark, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).isEmpty()
     assert corpus_pipeline.run(spark, SF).count() > 20
+
+
+def test_labelers_and_classifier_like_plain_loops(spark):
+    """Expectation-maximisation and the classifier's weights, from the votes and features of the candidates."""
+    rng = random.Random(13)
+    secret = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(32))
+    texts_ = [rng.choice([f'token = "{secret()}"', f"password={secret()}", f"id {secret()}", f"see build-{rng.randint(100, 999)}-of-the-thing", "call 555-201-3344 now", "tel: (555) 201-3344"]) + " x" for _ in range(120)]
+    found = common.cut(personal.found_in(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")), "found")
+    every = [(tuple(c["votes"]), list(c["features"])) for r in found.collect() for c in r["candidates"]]
+    assert len(every) > 80
+    n = collections.Counter(v for v, _ in every)
+    cast = lambda v: [x for x in v if x >= 0]
+    post = {v: (sum(cast(v)) / len(cast(v)) if cast(v) else 0.5) * 0.9 + 0.05 for v in n}
+    for _ in range(personal.ROUNDS):
+        prior = (sum(n[v] * post[v] for v in n) + 1) / (sum(n.values()) + 2)
+        hit, false = [], []
+        for j in range(personal.LABELERS):
+            yes, voted = [v for v in n if v[j] == 1], [v for v in n if v[j] >= 0]
+            hit.append((sum(n[v] * post[v] for v in yes) + 4) / (sum(n[v] * post[v] for v in voted) + 5))
+            false.append((sum(n[v] * (1 - post[v]) for v in yes) + 1) / (sum(n[v] * (1 - post[v]) for v in voted) + 5))
+        for v in n:
+            odds = np.log(prior / (1 - prior)) + sum(np.log(hit[j] / false[j]) if v[j] == 1 else np.log((1 - hit[j]) / (1 - false[j])) for j in range(personal.LABELERS) if v[j] >= 0)
+            post[v] = 1 / (1 + np.exp(-odds))
+    got = {tuple(r["votes"]): r["post"] for r in personal.posteriors(found).collect()}
+    assert got.keys() == post.keys() and all(abs(got[v] - post[v]) < 1e-9 for v in post)
+    yes, no = collections.Counter(), collections.Counter()
+    for v, features in every:
+        for f in ["", *features]:
+            yes[f] += post[v]
+            no[f] += 1 - post[v]
+    want = {f: np.log((yes[f] + 0.5) / (yes[""] + 1)) - np.log((no[f] + 0.5) / (no[""] + 1)) for f in yes if f} | {"": np.log((yes[""] + 1) / (no[""] + 1))}
+    weights = personal.train(found)
+    assert weights.keys() == want.keys() and all(abs(weights[f] - want[f]) < 1e-9 for f in want)
+
+
+def test_candidates_apart_from_base_spans(spark, monkeypatch):
+    """Sorted first or pair by pair, the same candidates are left."""
+    rng = random.Random(3)
+    spans = lambda: sorted({(s, 0, s + rng.randint(1, 9)) for s in (rng.randint(0, 200) for _ in range(rng.randint(0, 12)))})
+    rows = [(i, spans(), spans()) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, c array<struct<s:int,k:int,e:int>>, b array<struct<s:int,k:int,e:int>>")
+    for pairs in (1 << 20, -1):
+        monkeypatch.setattr(personal, "PAIRS", pairs)
+        got = {r["i"]: [tuple(x) for x in r["left"]] for r in df.select("i", personal._apart("c", F.col("b")).alias("left")).collect()}
+        assert got == {i: [x for x in c if not any(y[0] < x[2] and x[0] < y[2] for y in b)] for i, c, b in rows}
