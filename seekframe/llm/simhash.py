@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
 
 def stayed(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the least ``first`` of a root in ``named(first, root)``, once each."""
-    stay = cut(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t")), "stay")
+    stay = cut(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t")), "stay", marked.count())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
     kept = docs.join(stay, same, "left_semi")
     # rows of one doc_id and text; they are rare, and only if there are any do texts move for them
