@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, contains_like, equals_nocase, like_pattern, plain_lower, trimmed, truncated
 from ..query import Query
+from .lexical import local
 
 
 def predicate(query: Query) -> Column | None:
@@ -52,7 +53,7 @@ def _matching(messages: DataFrame, queries: dict[str, Query]) -> DataFrame:
          q.before and int(q.before.timestamp()), q.has_attachments, None if q.folder is None else plain_lower(q.folder))
         for qid, q in queries.items() if q.has_filters
     ]
-    asked = messages.sparkSession.createDataFrame(rows, _ASKED)
+    asked = local(messages.sparkSession, rows, _ASKED)
     low = messages.withColumns({f"low_{c}": ascii_lower(F.col(c)) for c in ("sender_address", "sender_name", "recipients", "folder")})
 
     def passes(given: str, test: str) -> Column:

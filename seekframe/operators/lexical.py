@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.snippet import tokenize
 from ..functions.text import tokens
@@ -76,10 +78,18 @@ def terms_of(parts: dict[str, Sequence[str]]) -> set[str]:
     return {t for ps in parts.values() for p in ps for t in tokenize(p)}
 
 
+def local(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    """A few rows of the driver's as a relation whose size the planner knows, so that it may broadcast or leave it out."""
+    schema = spark.createDataFrame([], kind).schema
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) or [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
+
+
 def asked(spark: SparkSession, parts: dict[str, Sequence[str]]) -> DataFrame:
     """``qid, phrase, off, term, size, n_parts`` of queries' parts.  A part without tokens matches nothing."""
     rows = [(q, i, k, t, len(toks), len(ps)) for q, ps in parts.items() for i, p in enumerate(ps) for toks in [tokenize(p)] for k, t in enumerate(toks)]
-    return spark.createDataFrame(rows, "qid string, phrase int, off int, term string, size int, n_parts int")
+    return local(spark, rows, "qid string, phrase int, off int, term string, size int, n_parts int")
 
 
 def occurrences(index: DataFrame, queries: DataFrame) -> DataFrame:
