@@ -67,7 +67,7 @@ def _slots(code: np.ndarray) -> Iterator[np.ndarray]:
         yield (mixed >> np.uint64(i * 21)) & np.uint64((1 << SLOTS_LOG2) - 1)
 
 
-def _texts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slabs: the range of texts, their bytes and offsets; a long text comes in overlapping parts."""
     data, offsets = text_buffer(column)
     for i, j in slabs(offsets, limit):

@@ -34,7 +34,7 @@ _SHAPE[48:58] = 48
 _SHAPE[128:] = 97
 
 
-def _pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _pieces(column: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slabs of whole texts; a long text comes in parts cut at white space."""
     data, offsets = text_buffer(column)
     for i, j in slabs(offsets, limit):
