@@ -4,9 +4,9 @@ Token counts are summed into cells of source, language and topic.  The cells' we
 share of each source, then of each language, then of each topic, again and again, ``ROUNDS`` times.  A cell can't give more
 than it has, so a margin's factor is the one that gives its group the goal with the group's exhausted cells at 1.  A
 document's probability is its cell's fitted tokens over the cell's tokens, at most 1.  A hash of its doc_id deals a document
-into one of ``PLACES`` places in its cell, and of the first places of a cell so many stay that their tokens come nearest to the
-fitted ones: a share of about the probability, the same sample in every run, and a few very long documents do not move a
-margin as they would if each was drawn apart.
+into one of ``PLACES`` places in its cell, and the first places of a cell stay as long as their tokens are no more than the
+fitted ones; the next place stays by a hash of the cell, with the chance that makes the expected tokens the fitted ones.  That
+is the same sample in every run, and a cell misses its tokens by less than one place's.
 
 The kept share of all tokens is ``KEEP``, or what the scarcest group of a margin allows.  Where no sample of that share meets
 all margins, smaller shares do: ``RUNGS`` shares, each ``STEP`` times the one before, are fitted side by side, and the largest
@@ -127,11 +127,14 @@ def chances(rows: DataFrame, keep: float = KEEP, aims: dict[str, DataFrame] | No
     # tables of one row for each cell: sources x languages x topics, not documents
     out = cells.join(fitted.select(*MARGINS, "x"), list(MARGINS), "left")
     out = out.select(*MARGINS, F.coalesce(F.col("x") / F.col("tokens"), F.lit(share)).alias("probability"), F.lit(share).alias("share"), "x", F.lit(gap).alias("gap"))
-    # the number of places whose tokens are nearest to the fitted ones; none is one of the choices
+    # the first place that goes beyond the fitted tokens, and whether it stays
     upto = Window.partitionBy(*MARGINS).orderBy("place")
     choices = dealt.withColumn("held", F.sum("tokens").over(upto)).join(fitted.select(*MARGINS, "x"), list(MARGINS))
-    best = choices.groupBy(*MARGINS).agg(F.min(F.struct(F.abs(F.col("held") - F.col("x")).alias("miss"), (F.col("place") + 1).alias("n"))).alias("b"), F.first("x").alias("none"))
-    best = best.select(*MARGINS, F.when(F.col("none") <= F.col("b.miss"), 0).otherwise(F.col("b.n")).alias("n"))
+    over = F.struct("place", (F.col("held") - F.col("tokens")).alias("before"), "tokens")
+    best = choices.groupBy(*MARGINS).agg(F.min(F.when(F.col("held") > F.col("x"), over)).alias("b"), F.first("x").alias("fit"))
+    share_of_it = (F.col("fit") - F.col("b.before")) / F.col("b.tokens")
+    chance = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(m).cast("string") for m in MARGINS]).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    best = best.select(*MARGINS, F.when(F.col("b").isNull(), PLACES).otherwise(F.col("b.place") + (share_of_it > chance).cast("int")).alias("n"))
     out = out.join(best, list(MARGINS), "left")
     places = F.coalesce("n", F.floor(F.col("probability") * PLACES).cast("int"))
     return cut(out.select(*MARGINS, (F.col("probability") / F.col("share")).alias("weight"), "probability", places.alias("places"), "gap"), "chances")
@@ -184,9 +187,10 @@ def _oracle() -> str:
     parts.append(f"fate AS MATERIALIZED (SELECT rung, share, gap FROM ended ORDER BY CASE WHEN gap <= {NEAR} THEN 0.0 ELSE gap END, rung LIMIT 1)")
     parts.append("fitted AS (SELECT source, lang, topic, x, x / tokens AS p FROM ended WHERE rung = (SELECT rung FROM fate))")
     parts.append(f"dealt AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % {PLACES} AS place FROM measured)")
-    parts.append("held AS (SELECT source, lang, topic, place + 1 AS n, sum(sum(tokens)) OVER (PARTITION BY source, lang, topic ORDER BY place) AS held FROM dealt GROUP BY source, lang, topic, place)")
-    parts.append("choices AS (SELECT source, lang, topic, n, abs(held - x) AS miss FROM held JOIN fitted USING (source, lang, topic) UNION ALL SELECT source, lang, topic, 0, x FROM fitted)")
-    parts.append("best AS (SELECT source, lang, topic, n FROM choices QUALIFY row_number() OVER (PARTITION BY source, lang, topic ORDER BY miss, n) = 1)")
+    parts.append("held AS (SELECT source, lang, topic, place, sum(tokens) AS own, sum(sum(tokens)) OVER (PARTITION BY source, lang, topic ORDER BY place) AS held FROM dealt GROUP BY source, lang, topic, place)")
+    parts.append("bound AS (SELECT source, lang, topic, place, own, held FROM held JOIN fitted USING (source, lang, topic) WHERE held > x QUALIFY row_number() OVER (PARTITION BY source, lang, topic ORDER BY place) = 1)")
+    chance = "('0x' || substr(md5(source || '|' || lang || '|' || topic), 1, 8))::BIGINT::DOUBLE / 4294967296.0"
+    parts.append(f"best AS (SELECT source, lang, topic, CASE WHEN place IS NULL THEN {PLACES} WHEN (x - (held - own)) / own > {chance} THEN place + 1 ELSE place END AS n FROM fitted LEFT JOIN bound USING (source, lang, topic))")
     parts.append(f"known AS (SELECT doc_id, source, lang, topic, tokens, place, n, coalesce((SELECT share FROM fate), {KEEP}) AS share, coalesce((SELECT gap FROM fate), 0.0) AS gap, coalesce(p, (SELECT share FROM fate), {KEEP}) AS p FROM dealt LEFT JOIN fitted USING (source, lang, topic) LEFT JOIN best USING (source, lang, topic))")
     return (
         "WITH " + ", ".join(parts) + " SELECT doc_id, source, lang, topic, tokens, round(p / share, 6) AS weight, round(p, 6) AS probability, "
