@@ -222,6 +222,41 @@ def test_equal_suffixes_on_both_sides_of_splitters(spark, monkeypatch):
     assert {bytes(r["bytes"]) for r in on} == set(count) and len(on) < len(rows)
 
 
+def test_suffixes_leave_a_task_with_what_they_are_dealt_out_by():
+    """Chains and their parts like a plain loop over the runs; no further pass over the bytes is needed to deal them out."""
+    rng = random.Random(31)
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (9000, 700, 0, 30_000, 500)]
+    listed = []
+    for t in texts:
+        r = suffixes.runs(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        rows = [tuple(int(r[k][i]) if k != "key" else int(r[k].view(np.int64)[i]) for k in ("s", "e", "a", "key")) for i in range(len(r["s"]))]
+        listed.append([x for x in rows if rng.random() < 0.95])
+    listed[3] = [(i, i + 1, i, 1) for i in range(200)]  # no anchor cuts these
+    listed[2] = None
+    want = []
+    for t, rows in zip(texts, listed):
+        held = []
+        for n, run in enumerate(rows or []):
+            held.append(run)
+            if n + 1 == len(rows) or rows[n + 1][0] != run[1] or run[3] % suffixes.CHAIN == 0 or len(held) == suffixes.LONGEST:
+                want.append((held[0][0], run[1], held[0][2], held[0][3], t[held[0][0] : run[1] - 1 + suffixes.WINDOW]))
+                held = []
+    struct = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("a", pa.int32()), ("key", pa.int64())]))
+    shuffled = [rows and rng.sample([dict(zip("s e a key".split(), x)) for x in rows], len(rows)) for rows in listed]
+    packed = [suffixes.zstandard.ZstdCompressor(level=1).compress(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, None, 2, 3, 4]), pa.array([7] * 5), pa.array(packed, pa.binary()), pa.array(shuffled, struct)], names=["d", "th", "z", "runs"])
+    chained = pa.Table.from_batches(list(suffixes._chain_batches([batch])))
+    plain = ["s", "e", "a", "key", "bytes"]
+    assert sorted(zip(*(chained.column(k).to_pylist() for k in plain))) == sorted(want) and len(want) > 8
+    whole = chained.combine_chunks().to_batches()[0]
+    assert whole.schema.names == [*"d th s e a key bytes k0 k1 h".split()]
+    parts = [[{"s": s, "e": s + 1, "a": a, "key": 5}, {"s": e - 1, "e": e, "a": a, "key": 6}] for s, e, a, _, _ in zip(*(chained.column(k).to_pylist() for k in plain))]
+    cut = pa.Table.from_batches(list(suffixes._cut_batches([pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), whole.column(2), whole.column(6), pa.array(parts, struct)], names=["d", "th", "s", "bytes", "parts"])])))
+    text = {0: texts[0], None: texts[1], 3: texts[3], 4: texts[4]}
+    for d, s, found, k0 in zip(*(cut.column(k).to_pylist() for k in ("d", "s", "bytes", "k0"))):
+        assert found == text[d][s : s + suffixes.WINDOW] and k0 == int.from_bytes(found[:8].ljust(8, b"\0"), "big") - (1 << 63)
+
+
 def test_repeats_of_periods_and_shifted_passages(spark):
     """Passages that start and end inside of runs, periods, texts of their own repeats, and identical rows."""
     rng = random.Random(12)
