@@ -149,6 +149,35 @@ def test_near_copies(spark, docs, empty):
     assert nearcopies.keep_one(empty).count() == 0
 
 
+def test_near_copies_by_fingerprints():
+    """The pipeline's near-copies come by SimHash: plain majority bits, block tables, and pivots that discard no linked pair."""
+    rng = np.random.default_rng(3)
+    fps, shared, random_ones = [], 0, 0
+    for n in (4, 9, 40, 300, 700):
+        for _ in range(20):
+            both = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            own = [rng.integers(0, 1 << 64, n // 9 if n >= 9 else k, dtype=np.uint64) for k in (0, 1)]  # similarity 0.8, or just over
+            sets = [np.unique(np.concatenate([both, x])) for x in own]
+            if n == 40:
+                words = [[int(w) for w in common.mix(h * nearcopies._WORD[0] + nearcopies._WORD[1])] for h in sets[0]]
+                plain = [sum((2 * sum(w[k] >> bit & 1 for w in words) > len(words)) << bit for bit in range(64)) for k in range(nearcopies.WORDS)]
+                assert plain == nearcopies.fingerprint(nearcopies.margins(sets[0])).tolist()
+            pair = [nearcopies.fingerprint(nearcopies.margins(s)) for s in sets]
+            assert np.bitwise_count(pair[0] ^ pair[1]).sum() <= nearcopies.RADIUS
+            fps += pair
+            # nearer ones, at 0.95 or so
+            if n >= 300:
+                keys = [set(nearcopies.block_keys(nearcopies.margins(s)).tolist()) for s in (both, np.concatenate([both[n // 40 :], own[0][: n // 40]]), own[0])]
+                shared += bool(keys[0] & keys[1])
+                random_ones += bool(keys[0] & keys[2])
+    assert shared >= 38 and random_ones == 0
+    table = nearcopies.pivot_table(np.array(fps))
+    gap = lambda i, j: int(np.abs(table[i] - table[j]).max())
+    assert all(gap(i, i + 1) <= nearcopies.RADIUS for i in range(0, len(fps), 2))
+    assert gap(0, 20) > nearcopies.RADIUS  # a pivot and one that is not near it
+    assert len(nearcopies.set_keys(np.arange(3, dtype=np.uint64))) == nearcopies.BANDS and len(nearcopies.set_keys(both)) == nearcopies.TABLES + nearcopies.BANDS
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     got = {r["node"]: r["root"] for r in common.components(edges).collect()}
