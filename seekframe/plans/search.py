@@ -73,7 +73,7 @@ class Searcher:
             if own:
                 found = rows.where(F.col("qid").isin(own))
                 allowed = filters.allowed_many(self.messages, {q: queries[q] for q in own}) if limited else None
-                found = lexical.top(found, limit, "fallback", allowed, self.config.search.exact_overfetch)
+                found = lexical.top(found, limit, "or" if self.config.search.match_any else "fallback", allowed, self.config.search.exact_overfetch)
                 out = found if out is None else out.unionAll(found)
         return out
 
