@@ -212,7 +212,12 @@ def scored(index: DataFrame, sizes: DataFrame | tuple[int, float], queries: Data
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     score = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))
-    return rows.withColumn("s", score).groupBy("qid", "row_id", "n_parts").agg(F.sum("s").alias("score"), F.count("*").alias("n_matched"))
+    # parts are added in their order: a sum in the order of arrival differs between equal texts, and ranks them by chance
+    most = queries.agg(F.max("n_parts")).first()[0] or 0
+    parts = [F.sum(F.when(F.col("phrase") == i, score)).alias(f"s{i}") for i in range(most)]
+    rows = rows.groupBy("qid", "row_id", "n_parts").agg(*parts, F.count("*").alias("n_matched"))
+    total = sum((F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(most)), F.lit(0.0))
+    return rows.select("qid", "row_id", "n_parts", total.alias("score"), "n_matched")
 
 
 def _first(rows: DataFrame, limit: int, allowed: DataFrame | None, overfetch: bool) -> DataFrame:
